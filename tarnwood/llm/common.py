@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,11 +16,19 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Words held by a worker's cache before it starts over; bounds memory, never results.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: Not valid in UTF-8, so no text holds these as a word.
-LINE_END, TEXT_END = b"\xfe", b"\xff"
+#: Not valid in UTF-8, so no text has it; it parts texts.
+TEXT_END = b"\xff"
+#: Bytes of text worked on together.
+PORTION = 4_000_000
+_BLOCK = 1 << 19
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32, 255]] = True
+_BYTE = np.random.default_rng(20_240_229).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTOR = 0x9E3779B97F4A7C15
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
 
 
 def field(df: DataFrame, column: str, name: str | None = None) -> T.StructField:
@@ -25,17 +36,40 @@ def field(df: DataFrame, column: str, name: str | None = None) -> T.StructField:
     return T.StructField(name or column, df.schema[column].dataType, True)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about PORTION bytes; a single row is never split."""
+    rows = max(1, batch.num_rows // max(1, -(-batch.nbytes // PORTION)))
+    for at in range(0, max(1, batch.num_rows), rows):
+        yield batch.slice(at, rows)
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, so that a reused worker starts small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, columns: list[str], schema: T.StructType, make: Callable[[], Callable[[list[list]], list]]) -> DataFrame:
     """Maps batches of rows: `make()` runs once a task and returns a function from
     the columns' values, as lists, to the result's columns, as lists or arrays.
-    Only `columns` are read, so the scan is pruned to them."""
+    Only `columns` are read, so the scan is pruned to them. A batch is worked on some
+    PORTION bytes at a time, and a task gives its memory back when it ends."""
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            out = work([column.to_pylist() for column in batch.columns])
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type, from_pandas=False) if not isinstance(c, pa.Array) else c for c, f in zip(out, arrow, strict=True)], schema=arrow)
+        try:
+            for batch in batches:
+                for part in slices(batch):
+                    yield made(work([column.to_pylist() for column in part.columns]))
+        finally:
+            del work
+            trim()
+
+    def made(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type, from_pandas=False) if not isinstance(c, pa.Array) else c for c, f in zip(out, arrow, strict=True)], schema=arrow)
 
     return df.select(*[df[c] for c in columns]).mapInArrow(run, schema)
 
@@ -70,14 +104,61 @@ class WordHashes(dict):
         return value
 
 
-def words_of(texts: list[str | None], lines: bool = False) -> list[bytes]:
-    """The words of all texts, A-Z lower-cased, cut at ASCII white space; TEXT_END
-    follows each text's words and, with `lines`, LINE_END each line break."""
-    parts = []
-    for text in texts:
-        data = (text or "").encode("utf-8", "replace").translate(_LOWER)
-        parts.append(data.replace(b"\n", b" \xfe ") if lines else data)
-    return (b" \xff ".join(parts) + b" \xff").split() if texts else []
+class _Powers:
+    """Powers of the factor and of its inverse, modulo 2^64, as far as needed."""
+
+    def __init__(self):
+        self.up = self.down = np.zeros(0, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, _BLOCK + 64)
+            with np.errstate(over="ignore"):
+                self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(size - 1, f, np.uint64)]) for f in (_FACTOR, _INVERSE))
+        return self.up, self.down
+
+
+_POWERS = _Powers()
+
+
+def portions(texts: list[str | None], limit: int = PORTION) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts, some `limit` characters at a time, and the number of the first."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= limit:
+            yield first, texts[first : i + 1]
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, texts[first:]
+
+
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts (A-Z lower-cased, cut at ASCII white space) and
+    where each begins, in the texts laid end to end, one byte apart; those bytes; and the
+    texts' ends. A word's hash is a polynomial of numbers drawn for its bytes, by
+    differences of running sums, mixed with its length."""
+    data = TEXT_END.join([(t or "").encode("utf-8", "replace").translate(_LOWER) for t in texts]) + TEXT_END
+    whole = np.frombuffer(data, np.uint8)
+    hashes, places, at = [], [], 0
+    while at < len(data):
+        end = min(len(data), at + _BLOCK)
+        while end < len(data) and not _SPACE[data[end - 1]]:
+            step = np.flatnonzero(_SPACE[whole[end : end + _BLOCK]])
+            end = min(len(data), end + (int(step[0]) + 1 if len(step) else _BLOCK))
+        block = whole[at:end]
+        space = _SPACE[block]
+        starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
+        ends = np.flatnonzero(~space & np.r_[space[1:], True]) + 1
+        up, down = _POWERS.upto(len(block) + 1)
+        with np.errstate(over="ignore"):
+            sums = np.r_[np.uint64(0), np.cumsum(_BYTE[block] * up[: len(block)])]
+            h = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)
+        hashes.append(mix(h))
+        places.append(starts + at)
+        at = end
+    stops = np.flatnonzero(whole == 255)
+    return np.concatenate(hashes), np.concatenate(places), whole, stops
 
 
 def hash_words(words: list[bytes], cache: WordHashes) -> np.ndarray:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,21 +24,20 @@ CELLS_LOG2, COARSE_LOG2 = 22, 16
 #: Rows that one token's group holds at most, by the counts; a greater one is split into a
 #: grid of cells that together still see every pair.
 GROUP_ROWS = 20_000
+#: Bits of the maps that say which lines or tokens a pass concerns; fewer let more through.
+MAP_BITS_LOG2 = 24
 _LINES = 4_096
 _HASH_BITS, _SMALL = 44, 48
 _TOKEN_MASK = np.uint64((1 << 52) - 1)
 
 
-def lines_of(texts: list[str | None], cache: common.WordHashes):
+def lines_of(texts: list[str | None]):
     """(line number of each word, its hash, text of each line, place of each line in its text)."""
-    h = common.hash_words(common.words_of(texts, lines=True), cache)
-    line, text = np.uint64(cache[common.LINE_END]), np.uint64(cache[common.TEXT_END])
-    last = h == text
-    end = last | (h == line)
-    number = np.cumsum(end) - end
-    owner = (np.cumsum(last) - last)[end]
+    h, places, data, stops = common.hashed_words(texts)
+    breaks = np.flatnonzero((data == 10) | (data == 255))
+    owner = np.searchsorted(stops, breaks)
     first = np.searchsorted(owner, np.arange(len(texts)))
-    return number[~end], h[~end], owner, np.arange(len(owner)) - first[owner]
+    return np.searchsorted(breaks, places), h, owner, np.arange(len(owner)) - first[owner]
 
 
 def _cells(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,14 +54,16 @@ def token_counts(documents: DataFrame, text_col: str) -> tuple[np.ndarray, np.nd
         return pa.RecordBatch.from_arrays([pa.array([fine.astype(np.uint8).tobytes()], pa.binary()), pa.array([coarse.tobytes()], pa.binary())], schema=arrow)
 
     def count(batches):
-        cache, fine, coarse = common.WordHashes(), np.zeros(1 << CELLS_LOG2, np.uint16), np.zeros(1 << COARSE_LOG2, np.int64)
+        fine, coarse = np.zeros(1 << CELLS_LOG2, np.uint16), np.zeros(1 << COARSE_LOG2, np.int64)
         for batch in batches:
-            _, h, _, _ = lines_of(batch.column(0).to_pylist(), cache)
-            a, b = _cells(h)
-            cell, n = np.unique(a, return_counts=True)
-            fine[cell] = np.minimum(255, fine[cell] + np.minimum(n, 255).astype(np.uint16))
-            coarse += np.bincount(b, minlength=len(coarse))
+            for part in common.slices(batch):
+                _, h, _, _ = lines_of(part.column(0).to_pylist())
+                a, b = _cells(h)
+                cell, n = np.unique(a, return_counts=True)
+                fine[cell] = np.minimum(255, fine[cell] + np.minimum(n, 255).astype(np.uint16))
+                coarse += np.bincount(b, minlength=len(coarse))
         yield row(fine, coarse)
+        common.trim()
 
     def add(batches):
         fine, coarse = np.zeros(1 << CELLS_LOG2, np.uint16), np.zeros(1 << COARSE_LOG2, np.int64)
@@ -77,69 +79,114 @@ def token_counts(documents: DataFrame, text_col: str) -> tuple[np.ndarray, np.nd
     return fine.astype(np.uint8), coarse
 
 
-def prefix_rows(documents: DataFrame, id_col: str, text_col: str, counts) -> DataFrame:
-    """A row for each token of each line's prefix: key (the token, or its cell), id, line,
-    n (distinct tokens), pos (the token's place in the line's order of rarity), b0 and b1 (a
-    parity sketch: it differs from another line's in no more bits than the sets differ in
-    tokens), part and cross (for the cells of a frequent token).
+def bit_map(df: DataFrame, columns: list[str], hashes) -> np.ndarray:
+    """A map of fixed size with the bits of all rows set; `hashes` makes the rows' 64-bit
+    hashes from the columns' lists. One blob a task, eight reach the driver."""
+    schema = T.StructType([T.StructField("bits", T.BinaryType())])
+    arrow = to_arrow_schema(schema)
+    size = 1 << MAP_BITS_LOG2
+
+    def row(bits):
+        return pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], schema=arrow)
+
+    def fill(batches):
+        bits = np.zeros(size, bool)
+        for batch in batches:
+            bits[(hashes([c.to_pylist() for c in batch.columns]) >> np.uint64(64 - MAP_BITS_LOG2)).astype(np.int64)] = True
+        yield row(bits)
 
-    Lines of one or two tokens match equal sets only, so the whole set stands as their token."""
-    held = documents.sparkSession.sparkContext.broadcast(counts)
-    schema = T.StructType([T.StructField("key", T.LongType()), common.field(documents, id_col, "id"), *(T.StructField(c, t) for c, t in (("line", T.IntegerType()), ("n", T.IntegerType()), ("pos", T.IntegerType()), ("b0", T.LongType()), ("b1", T.LongType()), ("part", T.IntegerType()), ("cross", T.BooleanType())))])
+    def unite(batches):
+        bits = np.zeros(size, bool)
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                bits |= np.unpackbits(np.frombuffer(blob, np.uint8)).view(bool)
+        yield row(bits)
+
+    bits = np.zeros(size, bool)
+    for (blob,) in df.select(*columns).mapInArrow(fill, schema).repartition(8).mapInArrow(unite, schema).collect():
+        bits |= np.unpackbits(np.frombuffer(blob, np.uint8)).view(bool)
+    return bits
+
+
+def prefix_rows(documents: DataFrame, id_col: str, text_col: str, counts, only: np.ndarray | None = None, probes: np.ndarray | None = None, plain: bool = False) -> DataFrame:
+    """A row for each token of each line's prefix: key (32 bits of the token or its cell), id,
+    line, sizes (n, the distinct tokens; the token's place in the line's order of rarity;
+    whether the cell lies off the grid's diagonal), b0 and b1 (a parity sketch: it differs from another line's in no more
+    bits than the sets differ in tokens), part (of a frequent token's cell, else -1).
+
+    Tokens that occur once in all documents are left out: no other line has them. Lines of
+    one or two tokens match equal sets only, so the whole set stands as their token. `only`
+    is a map of the tokens wanted, `probes` one of the lines to mark as probes; `plain` gives the tokens themselves as keys, without cells."""
+    held = documents.sparkSession.sparkContext.broadcast((*counts, only, probes))  # fixed sizes
+    schema = T.StructType([T.StructField("key", T.LongType() if plain else T.IntegerType()), common.field(documents, id_col, "id"), *(T.StructField(c, t) for c, t in (("line", T.IntegerType()), ("sizes", T.LongType()), ("b0", T.LongType()), ("b1", T.LongType()), ("part", T.IntegerType())))])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, (fine, coarse) = common.WordHashes(), held.value
         for batch in batches:
-            ids = batch.column(0)
-            number, h, owner, place = lines_of(batch.column(1).to_pylist(), cache)
-            a, b = _cells(h)
-            often = coarse[b]
-            rank = fine[a].astype(np.int64)
-            rank = np.where(rank < 192, rank, 192 + np.clip(4 * np.log2(np.maximum(often, 192) / 192), 0, 63).astype(np.int64))
-            cuts = np.searchsorted(number, np.arange(0, len(owner) + _LINES, _LINES))
-            for k in range(len(cuts) - 1):
-                s = slice(cuts[k], cuts[k + 1])
-                if cuts[k] == cuts[k + 1]:
-                    continue
-                local = (number[s] - k * _LINES).astype(np.uint64)
-                sort = (local << np.uint64(52)) | (rank[s].astype(np.uint64) << np.uint64(_HASH_BITS)) | (common.mix(h[s]) >> np.uint64(64 - _HASH_BITS))
-                order = np.argsort(sort)
-                sort, freq = sort[order], often[s][order]
-                keep = np.r_[True, sort[1:] != sort[:-1]]
-                sort, freq = sort[keep], freq[keep]
-                own, token = (sort >> np.uint64(52)).astype(np.int64), sort & _TOKEN_MASK
-                at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                line = own[at]
-                n = np.diff(np.r_[at, len(own)])
-                index = np.repeat(np.arange(len(at)), n)
-                pos = np.arange(len(own)) - at[index]
-                bit = np.uint64(1) << (token & np.uint64(63))
-                low = ((token >> np.uint64(6)) & np.uint64(1)) == 0
-                b0 = np.bitwise_xor.reduceat(np.where(low, bit, np.uint64(0)), at)
-                b1 = np.bitwise_xor.reduceat(np.where(low, np.uint64(0), bit), at)
-                with np.errstate(over="ignore"):
-                    whole = common.mix(np.add.reduceat(common.mix(token), at) + n.astype(np.uint64))
-                prefix = n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1
-                small = n <= 2
-                take = np.flatnonzero(np.where(small[index], pos == 0, pos < prefix[index]))
-                index, pos, freq = index[take], pos[take], np.where(small[index[take]], 0, freq[take])
-                key = np.where(small[index], whole[index], common.mix(token[take]))
-                # a frequent token's rows go to a row and a column of the grid of its cells
-                parts = np.maximum(1, -(-freq // GROUP_ROWS))
-                with np.errstate(over="ignore"):
-                    part = (common.mix(whole[index] + (k * _LINES + line[index]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % parts.astype(np.uint64)).astype(np.int64)
-                copies = np.repeat(np.arange(len(index)), parts)
-                other = np.arange(len(copies)) - np.repeat(np.cumsum(parts) - parts, parts)
-                mine = part[copies]
-                cell = np.where(parts[copies] > 1, np.minimum(mine, other) * 65_537 + np.maximum(mine, other) + 1, 0)
-                with np.errstate(over="ignore"):
-                    key = common.mix(key[copies] + cell.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-                index, pos = index[copies], pos[copies]
-                where = k * _LINES + line[index]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), ids.take(pa.array(owner[where])), pa.array(place[where].astype(np.int32)), pa.array(n[index].astype(np.int32)), pa.array(pos.astype(np.int32)),
-                     pa.array(b0[index].view(np.int64)), pa.array(b1[index].view(np.int64)), pa.array(mine.astype(np.int32)), pa.array((cell > 0) & (mine != other))], schema=arrow)
+            for part in common.slices(batch):
+                yield from rows_of(part.column(0), part.column(1).to_pylist())
+        common.trim()
+
+    def rows_of(ids: pa.Array, texts: list[str | None]) -> Iterator[pa.RecordBatch]:
+        fine, coarse, wanted, asked = held.value
+        number, h, owner, place = lines_of(texts)
+        marked = np.zeros(len(owner), bool)
+        if asked is not None:
+            marked = asked[(_line_hash(ids.to_pylist(), owner, place) >> np.uint64(64 - MAP_BITS_LOG2)).astype(np.int64)]
+        a, b = _cells(h)
+        often = coarse[b]
+        rank = fine[a].astype(np.int64)
+        once = rank == 1
+        rank = np.where(rank < 192, rank, 192 + np.clip(4 * np.log2(np.maximum(often, 192) / 192), 0, 63).astype(np.int64))
+        cuts = np.searchsorted(number, np.arange(0, len(owner) + _LINES, _LINES))
+        for k in range(len(cuts) - 1):
+            s = slice(cuts[k], cuts[k + 1])
+            if cuts[k] == cuts[k + 1]:
+                continue
+            local = (number[s] - k * _LINES).astype(np.uint64)
+            sort = (local << np.uint64(52)) | (rank[s].astype(np.uint64) << np.uint64(_HASH_BITS)) | (common.mix(h[s]) >> np.uint64(64 - _HASH_BITS))
+            order = np.argsort(sort)
+            sort, freq, lone = sort[order], often[s][order], once[s][order]
+            keep = np.r_[True, sort[1:] != sort[:-1]]
+            sort, freq, lone = sort[keep], freq[keep], lone[keep]
+            own, token = (sort >> np.uint64(52)).astype(np.int64), sort & _TOKEN_MASK
+            at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            line = own[at]
+            n = np.diff(np.r_[at, len(own)])
+            index = np.repeat(np.arange(len(at)), n)
+            pos = np.arange(len(own)) - at[index]
+            bit = np.uint64(1) << (token & np.uint64(63))
+            low = ((token >> np.uint64(6)) & np.uint64(1)) == 0
+            b0, b1 = (np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), at) for half in (low, ~low))
+            with np.errstate(over="ignore"):
+                whole = common.mix(np.add.reduceat(common.mix(token), at) + n.astype(np.uint64))
+            prefix = n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1
+            small = n <= 2
+            chosen = np.where(small[index], pos == 0, (pos < prefix[index]) & ~lone)
+            key = np.where(small[index], whole[index], common.mix(token))
+            if wanted is not None:
+                chosen &= wanted[(key >> np.uint64(64 - MAP_BITS_LOG2)).astype(np.int64)]
+            take = np.flatnonzero(chosen)
+            if not len(take):
+                continue
+            index, pos, key, freq = index[take], pos[take], key[take], np.where(small[index[take]], 0, freq[take])
+            # a frequent token's rows go to a row and a column of the grid of its cells
+            parts = np.maximum(1, -(-(freq * (not plain)) // GROUP_ROWS))
+            with np.errstate(over="ignore"):
+                part = (common.mix(whole[index] + (k * _LINES + line[index]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % parts.astype(np.uint64)).astype(np.int64)
+            copies = np.repeat(np.arange(len(index)), parts)
+            other = np.arange(len(copies)) - np.repeat(np.cumsum(parts) - parts, parts)
+            mine = part[copies]
+            cell = np.where(parts[copies] > 1, np.minimum(mine, other) * 65_537 + np.maximum(mine, other) + 1, 0)
+            with np.errstate(over="ignore"):
+                key = key[copies] if plain else common.mix(key[copies] + cell.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            index, pos = index[copies], pos[copies]
+            where = k * _LINES + line[index]
+            sizes = (n[index] << 32) | (pos << 2) | (marked[where] << 1) | ((cell > 0) & (mine != other))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64) if plain else (key >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids.take(pa.array(owner[where])), pa.array(place[where].astype(np.int32)), pa.array(sizes), pa.array(b0[index].view(np.int64)), pa.array(b1[index].view(np.int64)), pa.array(np.where(cell > 0, mine, -1).astype(np.int32))],
+                schema=arrow,
+            )
 
     return documents.select(F.col(id_col), F.col(text_col)).where(F.col(id_col).isNotNull()).mapInArrow(run, schema)
 
@@ -153,10 +200,10 @@ class _Group:
         key, line = table["key"].to_numpy(), table["line"].to_numpy()
         order = np.lexsort((line, rank, key))
         self.key, self.rank, self.line = key[order], rank[order], line[order]
-        self.n, self.pos, self.part = (table[c].to_numpy()[order].astype(np.int64) for c in ("n", "pos", "part"))
+        sizes = table["sizes"].to_numpy()[order]
+        self.n, self.pos, self.cross, self.part = sizes >> 32, (sizes & 0xFFFFFFFF) >> 2, (sizes & 1).astype(bool), table["part"].to_numpy()[order]
         self.b0, self.b1 = (table[c].to_numpy()[order].view(np.uint64) for c in ("b0", "b1"))
-        self.cross = table["cross"].to_numpy()[order]
-        self.probe = table["probe"].to_numpy()[order] if everything else None
+        self.probe = (sizes & 2) > 0
         self.ids, self.order, self.everything = ids, order, everything
 
     def passes(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,8 +220,8 @@ class _Group:
         ok &= (self.rank[x] != self.rank[y]) | (self.line[x] != self.line[y])
         return ok, apart, slack
 
-    def candidates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(y, x, more): each later row with the earlier one whose sketch is nearest, and
+    def candidates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(y, x, apart, more): each later row with the earlier one whose sketch is nearest, and
         whether there may be others; with `everything`, all pairs of rows marked as probes."""
         start = np.flatnonzero(np.r_[True, self.key[1:] != self.key[:-1]])
         size = np.diff(np.r_[start, len(self.key)])
@@ -212,35 +259,33 @@ class _Group:
                         open_[done - s] = False
         if not ys:
             none = np.zeros(0, np.int64)
-            return none, none, none.astype(bool)
+            return none, none, none, none.astype(bool)
         y, x, d, slack = map(np.concatenate, (ys, xs, ds, ss))
         if self.everything:
-            return y, x, np.zeros(len(y), bool)
+            return y, x, d, np.zeros(len(y), bool)
         order = np.lexsort((x, d, y))
         y, x, d, slack = y[order], x[order], d[order], slack[order]
         head = np.flatnonzero(np.r_[True, y[1:] != y[:-1]]) if len(y) else np.zeros(0, np.int64)
         more = (np.diff(np.r_[head, len(y)]) > 1) | ~small[y[head]]  # large groups stop early
-        return y[head], x[head], more
+        return y[head], x[head], d[head], more
 
 
-def candidates(rows: DataFrame, probes: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
+def candidates(rows: DataFrame, everything: bool = False, partitions: int | None = None) -> DataFrame:
     """(id, line, x_id, x_line, more): lines with earlier ones that may match them.
 
-    Without `probes` each prefix token gives its likeliest partner; with them, every pair
-    that the filters let pass for the lines (id, line) in `probes`. A task holds a batch of
-    rows and one group, which GROUP_ROWS bounds."""
-    everything = probes is not None
-    if everything:
-        rows = rows.join(probes.select("id", "line", F.lit(True).alias("probe")), ["id", "line"], "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
+    Each line gets its likeliest partner, of one for each prefix token, and `more` says
+    whether there may be others; with `everything`, the lines marked as probes get every
+    partner that the filters let pass. A task holds a batch of rows and one group, which
+    GROUP_ROWS bounds."""
     kind = common.field(rows, "id").dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("line", T.IntegerType()), T.StructField("x_id", kind), T.StructField("x_line", T.IntegerType()), T.StructField("more", T.BooleanType())])
+    schema = T.StructType([T.StructField("id", kind), T.StructField("line", T.IntegerType()), T.StructField("x_id", kind), T.StructField("x_line", T.IntegerType()), T.StructField("apart", T.IntegerType()), T.StructField("more", T.BooleanType())])
     arrow = to_arrow_schema(schema)
 
     def emit(table: pa.Table) -> pa.RecordBatch:
         group = _Group(table, everything)
-        y, x, more = group.candidates()
+        y, x, apart, more = group.candidates()
         take = lambda at: group.ids.take(pa.array(group.order[at]))
-        return pa.RecordBatch.from_arrays([take(y).cast(arrow.field(0).type), pa.array(group.line[y]), take(x).cast(arrow.field(2).type), pa.array(group.line[x]), pa.array(more)], schema=arrow)
+        return pa.RecordBatch.from_arrays([take(y).cast(arrow.field(0).type), pa.array(group.line[y]), take(x).cast(arrow.field(2).type), pa.array(group.line[x]), pa.array(apart.astype(np.int32)), pa.array(more)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -258,66 +303,99 @@ def candidates(rows: DataFrame, probes: DataFrame | None = None, partitions: int
             held = table.slice(cut).combine_chunks().to_batches()
         if held:
             yield emit(pa.Table.from_batches(held))
+        del held
+        common.trim()
 
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, schema).groupBy("id", "line", "x_id", "x_line").agg(F.max("more").alias("more"))
+    found = dealt.mapInArrow(run, schema)
+    if everything:
+        return found.select("id", "line", "x_id", "x_line", "more").distinct()
+    near = F.min(F.struct("apart", "x_id", "x_line")).alias("x")
+    more = F.max("more") | (F.min(F.struct("x_id", "x_line")) != F.max(F.struct("x_id", "x_line")))
+    return found.groupBy("id", "line").agg(near, more.alias("more")).select("id", "line", "x.x_id", "x.x_line", "more")
 
 
 def _tokens(line: str) -> frozenset[bytes]:
     return frozenset(line.encode("utf-8", "replace").translate(common._LOWER).split())
 
 
-def judge_lines(text: str | None, found: list | None) -> tuple[list[str], list[int], set[int], list, int]:
-    """(kept lines, removed, unsettled, ids matched, lines): `found` has (line, x_id, x_line,
-    x_text, more); a line goes if one of its partners has a Jaccard of 3/4 or more."""
-    lines = (text or "").split("\n")
-    gone, open_, ids = set(), set(), []
-    sets: dict[int, frozenset] = {}
-    for f in found or ():
-        i = f["line"]
-        if i in gone or i >= len(lines):
-            continue
-        a = sets.setdefault(i, _tokens(lines[i]))
-        b = _tokens(f["x_text"])
-        common_ = len(a & b)
-        if common_ and DENOMINATOR * common_ >= NUMERATOR * (len(a) + len(b) - common_):
-            gone.add(i)
-            ids.append(f["x_id"])
-        elif f["more"]:
-            open_.add(i)
-    return [x for i, x in enumerate(lines) if i not in gone], sorted(gone), open_ - gone, ids, len(lines)
-
-
-def _resolve(documents: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Verifies the pairs beside the texts: all columns, the text without its removed lines,
-    and what `dedup` adds."""
-    slim = documents.select(F.col(id_col).alias("__tw_x"), F.col(text_col).alias("__tw_text"))
-    wanted = pairs.groupBy(F.col("x_id").alias("__tw_x")).agg(F.collect_set("x_line").alias("__tw_lines"))
-    cut = slim.join(wanted, "__tw_x").withColumn("__tw_cut", F.split(F.coalesce("__tw_text", F.lit("")), "\n", -1))
-    leaders = cut.select(F.col("__tw_x").alias("x_id"), F.explode("__tw_lines").alias("x_line"), "__tw_cut").select("x_id", "x_line", F.get("__tw_cut", F.col("x_line")).alias("x_text")).where("x_text is not null")
-    grouped = pairs.join(leaders, ["x_id", "x_line"]).groupBy("id").agg(F.collect_list(F.struct("line", "x_id", "x_line", "x_text", "more")).alias("__tw_found")).withColumnRenamed("id", "__tw_key")
-    joined = documents.join(grouped, documents[id_col] == F.col("__tw_key"), "left").drop("__tw_key")
-    kind = common.field(documents, id_col).dataType
-    added = [T.StructField("__tw_n_lines", T.LongType()), T.StructField("__tw_removed", T.ArrayType(T.IntegerType())), T.StructField("__tw_class", kind), T.StructField("__tw_open", T.ArrayType(T.IntegerType()))]
-    schema = T.StructType([*documents.schema.fields, *added])
-    names = documents.columns
+def _line_hash(ids: list, owner: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Of lines, whose id is the one that `owner` numbers."""
+    own = np.fromiter((xxhash.xxh3_64_intdigest(str(i)) for i in ids), np.uint64, len(ids))
+    with np.errstate(over="ignore"):
+        return common.mix(own[owner] + lines.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-    def make():
-        at, own = names.index(text_col), names.index(id_col)
 
+def _hash_rows(columns: list[list]) -> np.ndarray:
+    return _line_hash(columns[0], np.arange(len(columns[0])), np.array(columns[1], np.int64))
+
+
+def _concerned(documents: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, line, text) of the later and of the earlier lines in `pairs`, and of few others."""
+    ends = pairs.select("id", "line"), pairs.select(F.col("x_id").alias("id"), F.col("x_line").alias("line"))
+    schema = T.StructType([common.field(documents, id_col, "id"), T.StructField("line", T.IntegerType()), T.StructField("text", T.StringType())])
+    whole = documents.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    out = []
+    for end in ends:
+        bits = bit_map(end, ["id", "line"], _hash_rows)
+        held = documents.sparkSession.sparkContext.broadcast(bits)  # a fixed size
+
+        def make(held=held):
+            def work(columns):
+                out = [], [], []
+                for key, text in zip(*columns, strict=True):
+                    lines = text.split("\n")
+                    hashes = _line_hash([key], np.zeros(len(lines), np.int64), np.arange(len(lines)))
+                    for i in np.flatnonzero(held.value[(hashes >> np.uint64(64 - MAP_BITS_LOG2)).astype(np.int64)]).tolist():
+                        out[0].append(key)
+                        out[1].append(i)
+                        out[2].append(lines[i])
+                return out
+
+            return work
+
+        out.append(common.map_arrow(whole, [id_col, text_col], schema, make))
+    return out[0], out[1]
+
+
+def _decided(pairs: DataFrame, lines: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(id, line, gone, more, text): whether one of its partners has a Jaccard of 3/4 or
+    more; the text only of lines that stay but may have other partners."""
+    earlier = lines[1].select(F.col("id").alias("x_id"), F.col("line").alias("x_line"), F.col("text").alias("x_text"))
+    found = pairs.join(earlier, ["x_id", "x_line"]).join(lines[0], ["id", "line"])
+    schema = T.StructType([common.field(found, "id"), T.StructField("line", T.IntegerType()), T.StructField("gone", T.BooleanType()), T.StructField("more", T.BooleanType()), T.StructField("text", T.StringType())])
+
+    def make():
         def work(columns):
-            out = [[], [], [], [], []]
-            for key, text, found in zip(columns[own], columns[at], columns[-1], strict=True):
-                kept, removed, unsettled, ids, n = judge_lines(text, found)
-                for held, v in zip(out, (text if not removed else "\n".join(kept), n, removed, min([*ids, key]) if ids else key, sorted(unsettled)), strict=True):
-                    held.append(v)
-            columns[at] = out[0]
-            return [*columns[:-1], *out[1:]]
+            ids, places, more, texts, others = columns
+            gone = []
+            for a, b in zip(texts, others, strict=True):
+                a, b = _tokens(a), _tokens(b)
+                both = len(a & b)
+                gone.append(both > 0 and DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both))
+            return ids, places, gone, more, [None if g or not m else t for g, m, t in zip(gone, more, texts, strict=True)]
 
         return work
 
-    return common.map_arrow(joined, [*names, "__tw_found"], schema, make)
+    return common.map_arrow(found, ["id", "line", "more", "text", "x_text"], schema, make)
+
+
+def matched_lines(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, line) of every line that an earlier one matches."""
+    rows = documents.select(F.col(id_col), F.col(text_col))
+    counts = token_counts(rows, text_col)
+    pairs = common.written(candidates(prefix_rows(rows, id_col, text_col, counts)), "line-pairs")
+    decided = common.written(_decided(pairs, _concerned(rows, pairs, id_col, text_col)), "lines-decided")
+    gone, open_ = decided.where("gone").select("id", "line").distinct(), decided.where("not gone and more")
+    if open_.isEmpty():
+        return gone
+    tokens = prefix_rows(open_.select("id", "text"), "id", "text", counts, plain=True)
+    wanted = bit_map(tokens, ["key"], lambda c: np.array(c[0], np.int64).view(np.uint64))
+    rest = candidates(prefix_rows(rows, id_col, text_col, counts, wanted, bit_map(open_, ["id", "line"], _hash_rows)), everything=True)
+    rest = common.written(rest, "line-pairs-rest")
+    again = _decided(rest, _concerned(rows, rest, id_col, text_col))
+    return gone.unionByName(again.where("gone").select("id", "line").distinct())
 
 
 def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -327,24 +405,36 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lower-cased; lines match from a Jaccard of 3/4 on. Lines without tokens stay. The partner
     may itself be removed, so the result doesn't depend on any order of work.
 
-    Returns all columns, the text without removed lines, and __tw_n_lines, __tw_removed
-    (their places), __tw_class (the least id among the verified partners' and the row's
-    own). Null texts stay null. Rows with a null id are given back as they are. Rows that
-    repeat an id are one document: their lines aren't held against each other. An empty
-    table gives an empty result.
+    Returns all columns, the text without removed lines, and __tw_n_lines and __tw_removed
+    (their places). Null texts stay null and have one line, without tokens. Rows with a
+    null id are given back as they are. Rows that repeat an id are one document: their lines
+    aren't held against each other. An empty table gives an empty result.
 
     A line first meets, for each of its prefix tokens, the earlier line with the nearest
-    sketch; so a line with many near copies costs a few pairs. Lines that fail there though
-    the filters let others pass meet all of them in a second round."""
-    rows = documents.select(F.col(id_col), F.col(text_col))
-    prefix = prefix_rows(rows, id_col, text_col, token_counts(rows, text_col))
-    pairs = common.written(candidates(prefix), "line-pairs")
-    out = common.written(_resolve(documents, pairs, id_col, text_col), "lines")
-    open_ = out.where(F.size("__tw_open") > 0).select(F.col(id_col).alias("id"), F.explode("__tw_open").alias("line")).distinct()
-    if not open_.isEmpty():
-        rest = common.written(candidates(prefix, open_), "line-pairs-rest")
-        out = _resolve(documents, pairs.unionByName(rest).groupBy("id", "line", "x_id", "x_line").agg(F.max("more").alias("more")), id_col, text_col)
-    return out.drop("__tw_open")
+    sketch, so that a line with many near copies costs a few pairs. Lines that fail there
+    though there may be others meet, in a second round, all that the filters let pass."""
+    gone = matched_lines(documents, id_col, text_col).groupBy(F.col("id").alias("__tw_key")).agg(F.collect_list("line").alias("__tw_gone"))
+    joined = documents.join(gone, documents[id_col] == F.col("__tw_key"), "left").drop("__tw_key")
+    schema = T.StructType([*documents.schema.fields, T.StructField("__tw_n_lines", T.LongType()), T.StructField("__tw_removed", T.ArrayType(T.IntegerType()))])
+    names = documents.columns
+    at = names.index(text_col)
+
+    def make():
+        def work(columns):
+            texts, counts, removed = [], [], []
+            for text, gone in zip(columns[at], columns[-1], strict=True):
+                lines = (text or "").split("\n")
+                out = sorted({i for i in gone or () if i < len(lines)})
+                drop = set(out)
+                texts.append("\n".join([x for i, x in enumerate(lines) if i not in drop]) if out else text)
+                counts.append(len(lines))
+                removed.append(out)
+            columns[at] = texts
+            return [*columns[:-1], counts, removed]
+
+        return work
+
+    return common.map_arrow(joined, [*names, "__tw_gone"], schema, make)
 
 
 def clean(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:

@@ -29,32 +29,36 @@ _PART = 1 << 14
 _ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
-def shingle_sets(texts: list[str | None], cache: common.WordHashes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, text number, shingle hash), a part of at most 2^14 texts at a time; rows
-    are distinct, in order of text and hash; the hash has 50 bits."""
-    for first in range(0, len(texts), _PART):
-        part = texts[first : first + _PART]
-        words = common.words_of(part)
-        h = common.hash_words(words, cache)
-        ends = np.flatnonzero(h == np.uint64(cache[common.TEXT_END]))
-        starts = np.r_[0, ends[:-1] + 1]
-        count = ends - starts
+def shingle_sets(texts: list[str | None], limit: int = common.PORTION) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, texts, text number, shingle hash), some `limit` characters and at most 2^14
+    texts at a time; rows are distinct, in order of text and hash; the hash has 50 bits."""
+    for begin, portion in common.portions(texts, limit):
+        for skip in range(0, len(portion), _PART):
+            part = portion[skip : skip + _PART]
+            yield (begin + skip, len(part), *_shingles(part))
+
+
+def _shingles(part: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    h, places, _, stops = common.hashed_words(part)
+    owner = np.searchsorted(stops, places)
+    count = np.bincount(owner, minlength=len(part))
+    starts = np.cumsum(count) - count
+    ends = starts + count
+    with np.errstate(over="ignore"):
+        n = len(h) - SHINGLE + 1
+        rolled = sum((h[i : i + max(n, 0)] * _ODD[i] for i in range(SHINGLE)), np.zeros(max(n, 0), np.uint64))
+    place = np.arange(len(h)) - starts[owner]
+    ok = place[: max(n, 0)] + SHINGLE <= count[owner[: max(n, 0)]]
+    text, value = owner[: max(n, 0)][ok], common.mix(rolled[ok])
+    short = np.flatnonzero((count > 0) & (count < SHINGLE))
+    if len(short):  # the whole sequence as one shingle
         with np.errstate(over="ignore"):
-            n = len(h) - SHINGLE + 1
-            rolled = sum((h[i : i + max(n, 0)] * _ODD[i] for i in range(SHINGLE)), np.zeros(max(n, 0), np.uint64))
-        owner = np.repeat(np.arange(len(part)), count + 1)
-        place = np.arange(len(h)) - starts[owner]
-        ok = place[: max(n, 0)] + SHINGLE <= count[owner[: max(n, 0)]]
-        text, value = owner[: max(n, 0)][ok], common.mix(rolled[ok])
-        short = np.flatnonzero((count > 0) & (count < SHINGLE))
-        if len(short):  # the whole sequence as one shingle
-            with np.errstate(over="ignore"):
-                own = np.array([np.bitwise_xor.reduce(common.mix(h[starts[i] : ends[i]] * _ODD[4] + np.arange(count[i], dtype=np.uint64) + np.uint64(int(count[i]) << 8))) for i in short], np.uint64)
-            text, value = np.r_[text, short], np.r_[value, common.mix(own)]
-        key = np.sort((text.astype(np.uint64) << np.uint64(50)) | (value >> np.uint64(14)))
-        if len(key):
-            key = key[np.r_[True, key[1:] != key[:-1]]]
-        yield first, (key >> np.uint64(50)).astype(np.int64), key & np.uint64((1 << 50) - 1)
+            own = np.array([np.bitwise_xor.reduce(common.mix(h[starts[i] : ends[i]] * _ODD[4] + np.arange(count[i], dtype=np.uint64) + np.uint64(int(count[i]) << 8))) for i in short], np.uint64)
+        text, value = np.r_[text, short], np.r_[value, common.mix(own)]
+    key = np.sort((text.astype(np.uint64) << np.uint64(50)) | (value >> np.uint64(14)))
+    if len(key):
+        key = key[np.r_[True, key[1:] != key[:-1]]]
+    return (key >> np.uint64(50)).astype(np.int64), key & np.uint64((1 << 50) - 1)
 
 
 def registers(text: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
@@ -104,13 +108,10 @@ def signatures(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = T.StructType([common.field(documents, id_col, "id"), T.StructField("n", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("regs", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def make():
-        cache = common.WordHashes()
-
         def work(columns):
             ids, texts = columns
             out = [[] for _ in range(5)]
-            for first, text, value in shingle_sets(texts, cache):
-                n = min(_PART, len(texts) - first)
+            for _, n, text, value in shingle_sets(texts):
                 size = np.bincount(text, minlength=n)
                 sums = []
                 for salt in (3, 5):
@@ -162,21 +163,17 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     schema = T.StructType([common.field(joined, "a"), common.field(joined, "b")])
 
     def make():
-        cache = common.WordHashes()
-
         def work(columns):
             a, b, ta, tb = columns
+            both = [t for pair in zip(ta, tb, strict=True) for t in pair]
             keep = []
-            for at in range(0, len(a), 512):
-                x, y = ta[at : at + 512], tb[at : at + 512]
-                (_, t, v), *_ = shingle_sets(x + y, cache)
-                n = len(x)
-                size = np.bincount(t, minlength=2 * n)
-                pair = np.where(t >= n, t - n, t).astype(np.uint64)
-                key = np.sort((pair << np.uint64(50)) | v)
-                common_ = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(50)).astype(np.int64), minlength=n)
-                union = size[:n] + size[n:] - common_
-                keep += (at + np.flatnonzero((100 * common_ >= PERCENT * union) & (union > 0))).tolist()
+            for at in range(0, len(both), 512):
+                ((_, n, t, v),) = shingle_sets(both[at : at + 512], 1 << 62)
+                size = np.bincount(t, minlength=n).reshape(-1, 2).sum(1)
+                key = np.sort(((t >> 1).astype(np.uint64) << np.uint64(50)) | v)
+                shared = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(50)).astype(np.int64), minlength=n // 2)
+                union = size - shared
+                keep += (at // 2 + np.flatnonzero((100 * shared >= PERCENT * union) & (union > 0))).tolist()
             return [a[i] for i in keep], [b[i] for i in keep]
 
         return work
