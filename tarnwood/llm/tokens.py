@@ -13,6 +13,7 @@ import zlib
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -201,14 +202,18 @@ def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         words = WordIds(path)
 
         def work(columns):
-            out = [[] for _ in schema]
+            out, parts = [[] for _ in range(5)], []
             for key, text in zip(*columns, strict=True):
                 ids = words.text(text) + end
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    row = (key, i, at // 4, len(part) // 4, zlib.crc32(part)) + ((np.frombuffer(part, "<i4").tolist(),) if with_ids else ())
-                    for column, value in zip(out, row, strict=True):
+                    for column, value in zip(out, (key, i, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         column.append(value)
+                    if with_ids:
+                        parts.append(part)
+            if with_ids:
+                offsets = np.cumsum([0, *out[3]]).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4"))))
             return out
 
         return work
