@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,9 +66,10 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = 4096, max_do
     attention = max_attention or capacity * capacity
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        bins, offsets = best_fit(rows["length"].to_numpy(np.int64), capacity, max_docs, attention, weights, rule)
-        return rows.drop(columns="__tw_block").assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
+    def place(key: tuple, rows: pa.Table) -> pa.Table:
+        bins, offsets = best_fit(rows["length"].to_numpy(), capacity, max_docs, attention, weights, rule)
+        out = rows.drop_columns("__tw_block")
+        return out.append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins)).append_column("offset", pa.array(offsets))
 
     dealt = pieces.withColumn("__tw_block", F.pmod(F.xxhash64(id_col, "piece", "start", "ids_crc32"), F.lit(blocks)))
-    return dealt.groupBy("__tw_block").applyInPandas(place, schema)
+    return dealt.groupBy("__tw_block").applyInArrow(place, schema)
