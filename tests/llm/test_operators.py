@@ -356,6 +356,31 @@ def test_urls(spark):
     assert urls.judge(frame.limit(0)).count() == 0
 
 
+def test_url_models_keep_every_gram(spark):
+    r = random.Random(10)
+    rows = [f"https://s{i}.org/{''.join(r.choices('abcdefghijklmnopqrstuvwxyz', k=60))}" for i in range(2500)]
+    rows += [f"http://{''.join(r.choices('klmnopq', k=9))}.casino.org/{i}" for i in range(40)] + [None, ""]
+    counts = collections.Counter(), collections.Counter()
+    for url in rows:
+        text = "\x02" + urls.symbols(url)
+        for i in range(1, len(text)):
+            for k in range(min(i, urls.ORDER) + 1):
+                counts["casino" in (url or "")][text[i - k : i + 1]] += 1
+    for word in urls.REJECTED_WORDS:
+        for i in range(len(word)):
+            for k in range(min(i, urls.ORDER) + 1):
+                counts[1][word[i - k : i + 1]] += urls.WORD_WEIGHT
+    assert len(counts[0] | counts[1]) > 300_000
+    models = [urls.Markov(dict(c)) for c in counts]
+    frame = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {x["page_id"]: x["score"] for x in urls.judge(frame).collect()}
+    assert len(got) == len(rows)
+    for i in [*range(0, 2500, 50), *range(2500, len(rows))]:
+        text = "\x02" + urls.symbols(rows[i])
+        each = [(text[max(0, j - urls.ORDER) : j], text[j]) for j in range(1, len(text))]
+        assert abs(got[i] - sum(models[0].log_prob(*x) - models[1].log_prob(*x) for x in each) / len(each)) < 1e-9
+
+
 def test_markov_against_definition():
     counts = collections.Counter()
     for text in ("\x02aab\x03", "\x02ab\x03"):
