@@ -3,6 +3,8 @@ and length filters, Jaccard verification, later matches removed."""
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tarnwood.llm import common
+from tarnwood.llm.components import components
 
 #: Lines match from a Jaccard similarity of 3/4 on. The filters below are written for it:
 #: of sizes a and b, 4 * min >= 3 * max, and the overlap is at least ceil(3 (a + b) / 7).
@@ -26,6 +29,8 @@ CELLS_LOG2, COARSE_LOG2 = 22, 16
 GROUP_ROWS = 20_000
 #: Bits of the maps that say which lines or tokens a pass concerns; fewer let more through.
 MAP_BITS_LOG2 = 24
+#: Pairs that are verified together, about; bounds a worker's memory, never results.
+PAIRS = 100_000
 _LINES = 4_096
 _HASH_BITS, _SMALL = 44, 48
 _TOKEN_MASK = np.uint64((1 << 52) - 1)
@@ -269,6 +274,35 @@ class _Group:
         more = (np.diff(np.r_[head, len(y)]) > 1) | ~small[y[head]]  # large groups stop early
         return y[head], x[head], d[head], more
 
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(y, x): all pairs of rows of a key that the filters let pass, some at a time."""
+        start = np.flatnonzero(np.r_[True, self.key[1:] != self.key[:-1]])
+        size = np.diff(np.r_[start, len(self.key)])
+        stop, rows, d = np.repeat(start + size, size), np.arange(len(self.key)), 1
+        while len(rows := rows[rows + d < stop[rows]]):
+            x = rows[self.passes(rows, rows + d)[0]]
+            yield x + d, x
+            d += 1
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by key, in tables of whole groups."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < 100_000:
+            continue
+        table = pa.Table.from_batches(held)
+        keys = table["key"].to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
 
 def candidates(rows: DataFrame, everything: bool = False, partitions: int | None = None) -> DataFrame:
     """(id, line, x_id, x_line, more): lines with earlier ones that may match them.
@@ -447,3 +481,119 @@ def clean(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if count_col in out.columns:
         out = out.withColumn(count_col, F.when(F.size("__tw_removed") > 0, F.char_length(text_col)).otherwise(F.col(count_col)).cast(documents.schema[count_col].dataType))
     return out.select(*documents.columns)
+
+
+def _members(documents: DataFrame, id_col: str, text_col: str, with_line: bool) -> DataFrame:
+    """(id, class) of each document's different lines, a class by a 128-bit hash of its words;
+    `with_line` (id, class, line) of those of three words or more: fewer match equal ones only."""
+    fields = [common.field(documents, id_col, "id"), T.StructField("class", T.BinaryType())]
+
+    def make():
+        def work(columns):
+            out = [], [], []
+            for key, text in zip(*columns, strict=True):
+                mine = {}
+                for line in text.split("\n"):
+                    if (tokens := _tokens(line)) and not (with_line and len(tokens) < 3):
+                        mine.setdefault(xxhash.xxh3_128_digest(b" ".join(sorted(tokens))), line)
+                out[0].extend([key] * len(mine))
+                out[1].extend(mine)
+                out[2].extend(mine.values())
+            return out if with_line else out[:2]
+
+        return work
+
+    schema = T.StructType([*fields, T.StructField("line", T.StringType())] if with_line else fields)
+    return common.map_arrow(documents.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()), [id_col, text_col], schema, make)
+
+
+def _pairs(classes: DataFrame) -> DataFrame:
+    """(y, x): the pairs of classes, by number, that the filters let pass; every one."""
+    counts = token_counts(classes, "line")
+    rows = prefix_rows(classes, "number", "line", counts)
+    schema = T.StructType([T.StructField("y", T.LongType()), T.StructField("x", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(held):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=arrow)
+
+        for table in _groups(batches):
+            group = _Group(table, True)
+            ids = group.ids.to_numpy()[group.order]
+            held, n = [], 0
+            for y, x in group.pairs():
+                held.append((ids[y], ids[x]))
+                n += len(y)
+                if n >= PAIRS:
+                    yield made(held)
+                    held, n = [], 0
+            if n:
+                yield made(held)
+        common.trim()
+
+    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, schema).distinct()
+
+
+def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(number, n, least): how many links a class has in a cell, and the least class it is
+    joined to there. Pairs are dealt to a grid of cells by their two ends, and a cell asks
+    for each of its lines once, so that m near copies don't mean m * m lines."""
+    side = max(1, math.ceil(math.sqrt(2 * pairs.count() / PAIRS)))
+    cell = (F.pmod(F.xxhash64("x"), F.lit(side)) * side + F.pmod(F.xxhash64("y"), F.lit(side))).alias("cell")
+    dealt = pairs.select(cell, "y", "x")
+    asked = dealt.select("cell", F.col("y").alias("number")).unionByName(dealt.select("cell", F.col("x").alias("number"))).distinct()
+    lines = asked.join(classes.select("number", "line"), "number")
+    schema = T.StructType([T.StructField("number", T.LongType()), T.StructField("n", T.LongType()), T.StructField("least", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def verify(pairs: pa.Table, lines: pa.Table) -> pa.Table:
+        sets = {k: _tokens(line) for k, line in zip(lines["number"].to_pylist(), lines["line"].to_pylist(), strict=True)}
+        n, up = Counter(), {}
+
+        def top(k):
+            while (over := up.setdefault(k, k)) != k:
+                up[k] = up[over]
+                k = over
+            return k
+
+        for y, x in zip(pairs["y"].to_pylist(), pairs["x"].to_pylist(), strict=True):
+            a, b = sets[y], sets[x]
+            both = len(a & b)
+            if DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both):
+                n[y] += 1
+                n[x] += 1
+                low, high = sorted((top(y), top(x)))
+                up[high] = low
+        return pa.table([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64()), pa.array([top(k) for k in n], pa.int64())], schema=arrow)
+
+    return dealt.groupBy("cell").cogroup(lines.withColumnRenamed("cell", "of").groupBy("of")).applyInArrow(verify, schema)
+
+
+def links(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, class_id and n_links of every row.
+
+    Lines of the same words are one class. A link joins two different classes with a Jaccard
+    of 3/4 or more, and every link is verified and counted, however many a line has;
+    n_links sums, over the document's different lines, the other classes that each is linked
+    to, so that a link within a document counts at both ends, and copies count once.
+    Documents that share a class, or have linked ones, directly or through others, have the
+    same class_id, the least of their ids; one without such lines has its own. Rows that
+    repeat an id are one document; a row with a null id has no class and no links."""
+    rows = documents.select(F.col(id_col), F.col(text_col))
+    members = common.written(_members(rows, id_col, text_col, False), "line-members")
+    classes = _members(rows, id_col, text_col, True).groupBy("class").agg(F.min("id").alias("owner"), F.min("line").alias("line"))
+    classes = common.written(classes.withColumn("number", F.monotonically_increasing_id()), "line-classes")
+    pairs = common.written(_pairs(classes), "link-pairs")
+    found = common.written(_verified(pairs, classes), "links")
+    owner = classes.select("number", "owner")
+    linked = found.where("number != least").select("number", "least").distinct().join(owner.withColumnRenamed("owner", "a"), "number")
+    linked = linked.join(owner.select(F.col("number").alias("least"), F.col("owner").alias("b")), "least").select("a", "b")
+    shared = members.join(members.groupBy("class").agg(F.min("id").alias("b")), "class").where("id != b").select(F.col("id").alias("a"), "b")
+    component = components(shared.unionByName(linked).distinct())
+    degree = found.groupBy("number").agg(F.sum("n").alias("n")).join(classes.select("number", "class"), "number").select("class", "n")
+    counted = members.join(degree, "class").groupBy("id").agg(F.sum("n").alias("__tw_n"))
+    out = rows.select(id_col).join(counted.withColumnRenamed("id", "__tw_id"), F.col(id_col) == F.col("__tw_id"), "left").drop("__tw_id")
+    out = out.join(component, F.col(id_col) == F.col("node"), "left")
+    return out.select(id_col, F.coalesce("component", id_col).alias("class_id"), F.coalesce("__tw_n", F.lit(0)).cast("long").alias("n_links"))

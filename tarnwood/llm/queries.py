@@ -55,6 +55,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.links(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -77,7 +81,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_warc_archive, op4_html_main_text, op5_line_dedup, op6_decontamination, op7_hyperminhash, op8_order_minhash, op9_toxicity, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_warc_archive, op4_html_main_text, op5_line_dedup, op5_line_links, op6_decontamination, op7_hyperminhash, op8_order_minhash, op9_toxicity, op10_url_filter)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -183,6 +183,37 @@ def test_lines(spark):
     assert line_dedup.dedup(frame.limit(0)).count() == 0
 
 
+def brute_links(texts):
+    sets = [{frozenset(line.lower().split()) for line in (t or "").split("\n")} - {frozenset()} for t in texts]
+    every = sorted(set().union(*sets), key=sorted)
+    near = {s: {x for x in every if x != s and 4 * len(s & x) >= 3 * len(s | x)} for s in every}
+    label = list(range(len(texts)))
+    for _ in texts:
+        for i, mine in enumerate(sets):
+            reach = set().union(mine, *(near[s] for s in mine))
+            label[i] = min([label[i], *(label[k] for k in range(len(texts)) if sets[k] & reach)])
+    return {i: (label[i], sum(len(near[s]) for s in mine)) for i, mine in enumerate(sets)}
+
+
+@pytest.mark.parametrize("group_rows", [20_000, 20])
+def test_every_link_of_lines_counts(spark, monkeypatch, group_rows):
+    monkeypatch.setattr(line_dedup, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(line_dedup, "PAIRS", 500)
+    r = random.Random(12)
+    base = words(16, 1)
+    near = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(16)]  # all match all
+    texts = ["", None, near[0], f"{near[1]}\n{near[2]}", near[0].upper(), "one two", "two ONE", "a b c", "a b c d", *near[3:]]
+    texts += [" ".join(r.sample("a b c d e f g h i".split(), r.randint(3, 6))) for _ in range(40)]
+    texts += ["\n".join(" ".join(words(5, r.random(), 12)) for _ in range(3)) for _ in range(20)]
+    texts += [" ".join(words(6, n, 4000)) for n in range(100, 108)]
+    frame = docs(spark, texts).select("doc_id", "text").repartition(3)
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in line_dedup.links(frame).collect()}
+    want = brute_links(texts)
+    assert want[2][1] == 15 and got == want
+    assert "op5_line_links" in queries.QUERIES
+    assert line_dedup.links(frame.limit(0)).count() == 0
+
+
 def test_frequent_tokens_are_split_but_lose_nothing(spark, monkeypatch):
     r = random.Random(2)
     texts = [" ".join(r.sample("a b c d e f g h i".split(), r.randint(3, 6))) for _ in range(150)]
