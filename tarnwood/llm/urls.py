@@ -125,13 +125,12 @@ def count_grams(labelled: DataFrame) -> DataFrame:
 
     sums = common.map_arrow(labelled, ["url", "y"], schema, count).groupBy("window").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
     grams = _suffixes(sums, "a", "r")
-    if labelled.select("y").distinct().count() == 2:
-        seeds = Counter()
-        for word in REJECTED_WORDS:
-            for i in range(len(word)):
-                for k in range(min(i, ORDER) + 1):
-                    seeds[word[i - k : i + 1]] += WORD_WEIGHT
-        grams = grams.unionByName(labelled.sparkSession.createDataFrame([(g, 0, n) for g, n in seeds.items()], "gram string, a long, r long"))
+    seeds = Counter()
+    for word in REJECTED_WORDS:
+        for i in range(len(word)):
+            for k in range(min(i, ORDER) + 1):
+                seeds[word[i - k : i + 1]] += WORD_WEIGHT
+    grams = grams.unionByName(labelled.sparkSession.createDataFrame([(g, 0, n) for g, n in seeds.items()], "gram string, a long, r long"))
     return common.written(grams.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r")), "url-grams")
 
 
@@ -144,14 +143,22 @@ def train(urls: DataFrame, url_col: str = "url", verdict_col: str = "verdict") -
     """Counts over all rows whose verdict is allow or block, then the threshold by `calibrate`."""
     labelled = urls.where(F.col(verdict_col).isin("allow", "block")).select(F.col(url_col).alias("url"), (F.col(verdict_col) == "allow").cast("int").alias("y"))
     grams = count_grams(labelled)
-    return Model(grams, calibrate(_scores(labelled, grams, "url", "y").withColumnRenamed("key", "y")))
+    return Model(grams, calibrate(_scores(labelled, grams, "url", "y").withColumnRenamed("key", "y"), grams))
 
 
-def calibrate(scored: DataFrame) -> float:
+def calibrate(scored: DataFrame, grams: DataFrame) -> float:
     """The score that best parts the rows of the classes y, each class weighing the same;
-    ties go to the value nearest to 0. The driver gets a histogram. With a class missing
+    ties go to the value nearest to 0. The driver gets a histogram. Where no row is rejected,
+    the rejected words stand for that class, each as a url of its own. Without accepted rows
     there is nothing to compare: the threshold accepts everything."""
-    histogram = scored.groupBy("y", F.round("score", 2).alias("s")).count().collect()
+
+    def counted(scored):
+        return scored.groupBy("y", F.round("score", 2).alias("s")).count().collect()
+
+    histogram = counted(scored)
+    if histogram and all(r["y"] == 1 for r in histogram):
+        words = scored.sparkSession.createDataFrame([(w, 0) for w in REJECTED_WORDS], "url string, y int")
+        histogram += counted(_scores(words, grams, "url", "y").withColumnRenamed("key", "y"))
     sizes = Counter()
     for r in histogram:
         sizes[r["y"]] += r["count"]
@@ -261,6 +268,6 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     grams = model.grams if model else count_grams(rows.select(F.col(url_col).alias("url"), accepted.alias("y")))
     scored = _scores(pages.select(F.col(id_col).alias("key"), F.col(url_col).alias("url")), grams, "url", "key")
     host, path = parts(F.col("url"))
-    threshold = model.threshold if model else calibrate(scored.withColumn("host", host).withColumn("y", accepted))
+    threshold = model.threshold if model else calibrate(scored.withColumn("host", host).withColumn("y", accepted), grams)
     out = scored.withColumn("host", host).withColumn("path", path).withColumn("rule", name).withColumn("__tw_v", verdict)
     return out.select(F.col("key").alias(id_col), "host", "path", "rule", "score", F.coalesce("__tw_v", F.when(F.col("score") < threshold, "block").otherwise("allow")).alias("verdict"))

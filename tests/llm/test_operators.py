@@ -387,6 +387,14 @@ def test_urls(spark):
     assert urls.judge(frame.limit(0)).count() == 0
 
 
+def test_urls_without_seeded_hosts(spark):
+    good = [f"https://www.site{i % 9}.example.org/news/{i}.html" for i in range(300)]
+    bad = [f"http://{a}{b}" for a, b in (("poker", "jackpot"), ("casino", "lottery"), ("viagra", "pharmacy"))]
+    frame = spark.createDataFrame(list(enumerate(good + bad)), "page_id long, url string")
+    got = [x["verdict"] for x in urls.judge(frame).orderBy("page_id").collect()]
+    assert got[300:] == ["block"] * 3 and got[:300].count("block") <= 3
+
+
 def test_url_models_keep_every_gram(spark):
     r = random.Random(10)
     rows = [f"https://s{i}.org/{''.join(r.choices('abcdefghijklmnopqrstuvwxyz', k=60))}" for i in range(2500)]
