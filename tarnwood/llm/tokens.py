@@ -123,11 +123,12 @@ class UnitCounts(dict):
 class Resync:
     """Counts huge texts by overlapping chunks.
 
-    Each chunk is encoded with offsets. Two neighbours are spliced at a place inside
-    their overlap that both have as a stable boundary and after which both have the
-    same next `agree` units. Where there is none, the right chunk is started further
-    to the left, four times the overlap each time, at last at the left chunk's own
-    start, where both are one chunk: the count is exact for any text."""
+    A chunk isn't encoded: it is cut into units, and their remembered counts stand for
+    the library's encoding. Two neighbours are spliced at a place inside their overlap
+    that both have as a stable boundary and after which both have the same next `agree`
+    units. Where there is none, the right chunk is started further to the left, four times
+    the overlap each time, at last at the left chunk's own start, where both are one chunk:
+    the count is exact for any text."""
 
     def __init__(self, path: str, chunk_chars: int = 32_768, overlap: int = 512, agree: int = 3):
         if not 0 < overlap < chunk_chars:
