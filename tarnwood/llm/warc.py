@@ -105,17 +105,29 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
 def read(archive: Archive, id_type: str = "bigint") -> DataFrame:
     """What the archive holds, a row per record: page_id, payload_bytes, payload_digest,
-    record_type, refers_to. Bytes and digest are computed anew from the stored payload
-    that the record's content address names, and must equal the header's digest."""
-    stored = archive.verified().select("content_sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), sha1_base32(F.col("payload")).alias("payload_digest"))
-    joined = archive.headers.join(stored, "content_sha256")
-    h = F.col("header")
+    record_type, refers_to, all from the records that `records` rebuilds. A response's
+    bytes and digest are computed anew from its body, whose length and digest must equal
+    the header's; a revisit, whose body is empty, has those of the response with its digest."""
+    record, text = F.col("record"), F.col("record").cast("string")
+    h = F.substring_index(text, CRLF + CRLF, 1)  # urls have no line breaks, so the first blank line ends it
+    cut = archive.records().select(record, F.concat(h, F.lit(CRLF)).alias("header"))
+    start = F.octet_length("header") + 2
+    body = F.substring(record, start + 1, F.octet_length(record) - start - 4)
+    cut = cut.select("header", body.alias("body"))
+    h, size = F.col("header"), F.octet_length("body").cast("long")
     said = F.substring(_named(h, "WARC-Payload-Digest"), 6, 32)
-    digest = F.when(said == F.col("payload_digest"), said).otherwise(F.raise_error(F.lit("a record's digest differs from its payload's")).cast("string"))
-    return joined.select(
-        _named(h, "X-Source-Id").cast(id_type).alias("page_id"), "payload_bytes", digest.alias("payload_digest"),
+    response = _named(h, "WARC-Type") == "response"
+    wrong = lambda text: F.raise_error(F.lit(text)).cast("string")
+    digest = F.when(_named(h, "Content-Length").cast("long") != size, wrong("a record's length differs from its body's")).when(response & (said != sha1_base32(F.col("body"))), wrong("a record's digest differs from its payload's")).otherwise(said)
+    found = cut.select(
+        _named(h, "X-Source-Id").cast(id_type).alias("page_id"), F.when(response, size).alias("size"), digest.alias("payload_digest"),
         _named(h, "WARC-Type").alias("record_type"), _named(h, "X-Refers-To-Source-Id").cast(id_type).alias("refers_to"),
     )
+    found = common.written(found, "archive-records")
+    stored = found.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("size").alias("stored"))
+    joined = found.join(stored, "payload_digest", "left")
+    bytes_ = F.coalesce("size", "stored", wrong("a revisit's response is missing").cast("long"))
+    return joined.select("page_id", bytes_.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:

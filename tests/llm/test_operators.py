@@ -124,6 +124,16 @@ def test_warc(spark, tmp_path):
     assert warc.archive_pages(pages(spark, rows).limit(0)).count() == 0
 
 
+def test_archive_is_read_from_rebuilt_records(spark, tmp_path):
+    archive = warc.write(pages(spark, [(1, "u", "a\r\n\r\nbody é", "x", 1), (2, "v", "a\r\n\r\nbody é", "x", 1)]), f"file://{tmp_path}/w")
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read(archive).collect())
+    assert got == [(1, 12, "response", None), (2, 12, "revisit", 1)]
+    rows = [(r["content_sha256"], r["header"].replace("Content-Length: 12", "Content-Length: 13")) for r in archive.headers.collect()]
+    spark.createDataFrame(rows, "content_sha256 string, header string").write.mode("append").parquet(f"{tmp_path}/w/headers")
+    with pytest.raises(Exception, match="length differs"):
+        warc.read(archive).collect()
+
+
 def test_main_text(spark):
     model, wrong = html.trained(), 0
     for page in html.invented(150, 77):
