@@ -19,16 +19,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 CACHE_WORDS = 250_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: Not valid in UTF-8, so no text has it; it parts texts.
-TEXT_END = b"\xff"
+#: Bytes that no UTF-8 text has: the end of a text, and what line feeds and other white
+#: space are turned into while words are looked for.
+TEXT_END, LINE_END, SPACE = b"\xff", b"\xfe", b"\xfd"
+_WORDS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\n\t\x0b\x0c\r ", b"abcdefghijklmnopqrstuvwxyz" + LINE_END + 5 * SPACE)
 #: Bytes of text worked on together.
 PORTION = 4_000_000
 _BLOCK = 1 << 19
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32, 255]] = True
-_BYTE = np.random.default_rng(20_240_229).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_FACTOR = 0x9E3779B97F4A7C15
-_INVERSE = pow(_FACTOR, -1, 1 << 64)
+_WORD_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_FACTORS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bytes of a word that are hashed eight at a time; what follows is hashed apart.
+_WORD_BYTES = 64
 
 
 def field(df: DataFrame, column: str, name: str | None = None) -> T.StructField:
@@ -104,24 +105,7 @@ class WordHashes(dict):
         return value
 
 
-class _Powers:
-    """Powers of the factor and of its inverse, modulo 2^64, as far as needed."""
-
-    def __init__(self):
-        self.up = self.down = np.zeros(0, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, _BLOCK + 64)
-            with np.errstate(over="ignore"):
-                self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(size - 1, f, np.uint64)]) for f in (_FACTOR, _INVERSE))
-        return self.up, self.down
-
-
-_POWERS = _Powers()
-
-
-def portions(texts: list[str | None], limit: int = PORTION) -> Iterator[tuple[int, list[str | None]]]:
+def portions(texts: list, limit: int = PORTION) -> Iterator[tuple[int, list]]:
     """The texts, some `limit` characters at a time, and the number of the first."""
     first, size = 0, 0
     for i, text in enumerate(texts):
@@ -133,32 +117,55 @@ def portions(texts: list[str | None], limit: int = PORTION) -> Iterator[tuple[in
         yield first, texts[first:]
 
 
-def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def encoded(column: pa.Array) -> list[bytes | None]:
+    """The texts of an Arrow column in UTF-8."""
+    return column.cast(pa.binary()).to_pylist()
+
+
+def hashed_words(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts (A-Z lower-cased, cut at ASCII white space) and
-    where each begins, in the texts laid end to end, one byte apart; those bytes; and the
-    texts' ends. A word's hash is a polynomial of numbers drawn for its bytes, by
-    differences of running sums, mixed with its length."""
-    data = TEXT_END.join([(t or "").encode("utf-8", "replace").translate(_LOWER) for t in texts]) + TEXT_END
-    whole = np.frombuffer(data, np.uint8)
-    hashes, places, at = [], [], 0
-    while at < len(data):
-        end = min(len(data), at + _BLOCK)
-        while end < len(data) and not _SPACE[data[end - 1]]:
-            step = np.flatnonzero(_SPACE[whole[end : end + _BLOCK]])
-            end = min(len(data), end + (int(step[0]) + 1 if len(step) else _BLOCK))
-        block = whole[at:end]
-        space = _SPACE[block]
-        starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
-        ends = np.flatnonzero(~space & np.r_[space[1:], True]) + 1
-        up, down = _POWERS.upto(len(block) + 1)
-        with np.errstate(over="ignore"):
-            sums = np.r_[np.uint64(0), np.cumsum(_BYTE[block] * up[: len(block)])]
-            h = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)
-        hashes.append(mix(h))
-        places.append(starts + at)
+    where each begins, in the texts laid end to end, one byte apart; those bytes, white space
+    as SPACE and LINE_END; and the texts' ends. Texts are strings or their bytes."""
+    parts = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "replace") for t in texts]
+    size = sum(map(len, parts)) + len(parts)
+    data = TEXT_END.join([*parts, bytes(8)]).translate(_WORDS)
+    whole = np.frombuffer(data, np.uint8)[:size]
+    hashes, places, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < size:
+        end = min(size, at + _BLOCK)
+        if end < size:  # a block ends with the last white space, or goes on to the next one
+            back = max(data.rfind(c, at, end) for c in (SPACE, LINE_END, TEXT_END))
+            end = back + 1 if back >= 0 else 1 + min(e for c in (SPACE, LINE_END, TEXT_END) if (e := data.find(c, end)) >= 0)
+        ends = at + np.flatnonzero(whole[at:end] >= SPACE[0])
+        starts = np.empty_like(ends)
+        starts[0], starts[1:] = at, ends[:-1] + 1
+        keep = starts < ends
+        if not keep.all():
+            starts, ends = starts[keep], ends[keep]
+        hashes.append(_word_hashes(data, starts, ends))
+        places.append(starts)
         at = end
-    stops = np.flatnonzero(whole == 255)
-    return np.concatenate(hashes), np.concatenate(places), whole, stops
+    return np.concatenate(hashes), np.concatenate(places), whole, np.flatnonzero(whole == TEXT_END[0])
+
+
+def _word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of the words from `starts` to `ends`: eight bytes at a time, all words together."""
+    eight = np.ndarray((max(0, len(data) - 7),), "<u8", data, 0, (1,))
+    size = ends - starts
+    with np.errstate(over="ignore"):
+        h = size.astype(np.uint64) * _FACTORS[0]
+        at, rows = 0, np.arange(len(starts))
+        while len(rows) and at < _WORD_BYTES:
+            whole = len(rows) == len(h)
+            left = (size if whole else size[rows]) - at
+            now = eight[(starts if whole else starts[rows]) + at] & _WORD_MASK[np.minimum(left, 8)]
+            now = ((h if whole else h[rows]) ^ now) * _FACTORS[1]
+            h[rows] = now ^ (now >> np.uint64(29))
+            at += 8
+            rows = rows[left > 8]
+        for row in rows.tolist():
+            h[row] ^= np.uint64(xxhash.xxh3_64_intdigest(data[starts[row] + at : ends[row]]))
+    return mix(h)
 
 
 def hash_words(words: list[bytes], cache: WordHashes) -> np.ndarray:

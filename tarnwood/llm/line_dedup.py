@@ -6,11 +6,13 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -21,415 +23,713 @@ from tarnwood.llm.components import components
 #: Lines match from a Jaccard similarity of 3/4 on. The filters below are written for it:
 #: of sizes a and b, 4 * min >= 3 * max, and the overlap is at least ceil(3 (a + b) / 7).
 NUMERATOR, DENOMINATOR = 3, 4
-#: Cells of the token counts that set the order of rarity. Any order gives the same result;
-#: fewer cells make longer candidate lists.
-CELLS_LOG2, COARSE_LOG2 = 22, 16
-#: Rows that one token's group holds at most, by the counts; a greater one is split into a
-#: grid of cells that together still see every pair.
+#: Tokens whose exact counts go to every task, the most frequent ones; all others rank before
+#: them, in the order of their hashes. The order decides the work, never the result.
+HEAD, CELLS_LOG2 = 1 << 19, 23
+#: A prefix token of a greater count is a key only together with the next token of a line that
+#: two matching lines may share, and that pair with a third; a third token of a greater count
+#: deals its lines to parts, of about so many.
 GROUP_ROWS = 20_000
-#: Bits of the maps that say which lines or tokens a pass concerns; fewer let more through.
-MAP_BITS_LOG2 = 24
+#: Rows of prefixes that a part of the join holds, about.
+PART_ROWS = 400_000
+#: Partners of a line that are verified in the first round, if none is all but certain.
+PARTNERS = 8
+#: Bits of the maps that say which lines or keys a pass concerns, at most; fewer let more through.
+MAP_BITS_LOG2 = 27
 #: Pairs that are verified together, about; bounds a worker's memory, never results.
 PAIRS = 100_000
+#: Classes of lines that a task remembers, to give a class's prefix once and not for each copy.
+REMEMBERED = 200_000
 _LINES = 4_096
-_HASH_BITS, _SMALL = 44, 48
+_HASH_BITS, _NEAR = 44, 64
 _TOKEN_MASK = np.uint64((1 << 52) - 1)
+_STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_CROSS, _SALTED, _PROBE = 1, 2, 4
+#: By the bits in which two sketches differ: tokens in which the sets differ, as good as surely
+#: at most (the mean of throws into 128 cells that leaves so many odd, and three deviations).
+_SURE = np.array([a if a < 2 else m + 3 * math.sqrt(max(0.0, m * m / 128)) if (m := math.log1p(-min(a, 63) / 64) / math.log1p(-1 / 64)) < 127 else 1 << 30 for a in range(129)])
 
 
-def lines_of(texts: list[str | None]):
+def lines_of(texts: list[str | bytes | None]):
     """(line number of each word, its hash, text of each line, place of each line in its text)."""
     h, places, data, stops = common.hashed_words(texts)
-    breaks = np.flatnonzero((data == 10) | (data == 255))
+    breaks = np.flatnonzero(data >= common.LINE_END[0])
     owner = np.searchsorted(stops, breaks)
     first = np.searchsorted(owner, np.arange(len(texts)))
-    return np.searchsorted(breaks, places), h, owner, np.arange(len(owner)) - first[owner]
+    words = np.diff(np.r_[0, np.searchsorted(places, breaks)])
+    return np.repeat(np.arange(len(breaks)), words), h, owner, np.arange(len(owner)) - first[owner]
 
 
-def _cells(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h >> np.uint64(64 - CELLS_LOG2)).astype(np.int64), (h & np.uint64((1 << COARSE_LOG2) - 1)).astype(np.int64)
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
 
 
-def token_counts(documents: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """How often tokens occur over all documents, by hashed cell: fine counts that stop at
-    255, and coarse ones. One fixed-size row a task; eight reach the driver."""
-    schema = T.StructType([T.StructField("fine", T.BinaryType()), T.StructField("coarse", T.BinaryType())])
+def _sequences(h: np.ndarray, at: np.ndarray, both: bool) -> tuple[np.ndarray, ...]:
+    """64-bit hashes, one or two, of the sequences of words that begin at `at`."""
+    if not len(at):
+        return (np.zeros(0, np.uint64),) * 2
+    with np.errstate(over="ignore"):
+        pos = np.arange(len(h), dtype=np.uint64) - np.repeat(at.astype(np.uint64), np.diff(np.r_[at, len(h)]))
+        mixed = common.mix(h + pos * _STEP[2])
+        return np.add.reduceat(mixed, at), np.add.reduceat(mixed * (mixed >> np.uint64(32)), at) if both else None
+
+
+def _line_hash(ids: pa.Array, owner: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Of lines, whose id is the one that `owner` numbers."""
+    if pa.types.is_integer(ids.type):
+        own = common.mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + _STEP[1])
+    else:
+        own = np.fromiter((xxhash.xxh3_64_intdigest(str(i)) for i in ids.to_pylist()), np.uint64, len(ids))
+    with np.errstate(over="ignore"):
+        return common.mix(own[owner] + lines.astype(np.uint64) * _STEP[0])
+
+
+def _parts(spark: SparkSession, rows: int = 0) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS))
+
+
+#: Kinds of rows of a survey: token counts, lines that are the first of a class in their task, other lines.
+_COUNTED, _FIRST, _EQUAL = 0, 1, 2
+
+
+def survey(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One pass over the texts; its rows hold arrays: kind, part, data, ids. Token counts,
+    folded by task: the tokens' hashes and counts. Lines with words: a class is by 128 bits
+    of the sequence of words; a task gives a class's first line with these bits and place,
+    and of its other lines, which equal an earlier one, the places."""
+    parts = 4 * _parts(documents.sparkSession)
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("ids", T.ArrayType(documents.schema[id_col].dataType))])
     arrow = to_arrow_schema(schema)
 
-    def row(fine, coarse):
-        return pa.RecordBatch.from_arrays([pa.array([fine.astype(np.uint8).tobytes()], pa.binary()), pa.array([coarse.tobytes()], pa.binary())], schema=arrow)
+    def packed(kind: int, by: np.ndarray, columns: list[np.ndarray], ids: pa.Array | None = None) -> pa.RecordBatch:
+        part = ((by >> np.uint64(8)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        at = _starts(part[order])
+        columns = [c[order] for c in columns]
+        blobs = [b"".join(c[s].tobytes() for c in columns) for s in map(slice, at.tolist(), [*at[1:].tolist(), len(part)])]
+        lists = pa.nulls(len(at), arrow.field(3).type) if ids is None else _lists(ids.take(pa.array(order)), at, arrow.field(3).type)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(part[order][at]), pa.array(blobs, pa.binary()), lists], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, lines, size = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            token, n = _summed(counts)
+            yield packed(_COUNTED, token, [token, n])
+            c1, c2, line = (np.concatenate(c) for c in list(zip(*lines, strict=True))[:3])
+            ids = pa.concat_arrays([x[3] for x in lines])
+            first = _first(c1, c2, ids, line)
+            yield packed(_FIRST, c1[first], [c1[first], c2[first], line[first]], ids.take(pa.array(np.flatnonzero(first))))
+            yield packed(_EQUAL, c1[~first], [line[~first]], ids.take(pa.array(np.flatnonzero(~first))))
 
-    def count(batches):
-        fine, coarse = np.zeros(1 << CELLS_LOG2, np.uint16), np.zeros(1 << COARSE_LOG2, np.int64)
         for batch in batches:
-            for part in common.slices(batch):
-                _, h, _, _ = lines_of(part.column(0).to_pylist())
-                a, b = _cells(h)
-                cell, n = np.unique(a, return_counts=True)
-                fine[cell] = np.minimum(255, fine[cell] + np.minimum(n, 255).astype(np.uint16))
-                coarse += np.bincount(b, minlength=len(coarse))
-        yield row(fine, coarse)
+            for piece in common.slices(batch):
+                number, h, owner, place = lines_of(common.encoded(piece.column(1)))
+                if not len(h):
+                    continue
+                counts.append(np.unique(h, return_counts=True))
+                size += len(counts[-1][0])
+                at = _starts(number)
+                lines.append((*_sequences(h, at, True), place[number[at]].astype(np.int32), piece.column(0).take(pa.array(owner[number[at]]))))
+                if size > 4_000_000:
+                    yield from flush()
+                    counts, lines, size = [], [], 0
+        if counts:
+            yield from flush()
+        del counts, lines
         common.trim()
 
-    def add(batches):
-        fine, coarse = np.zeros(1 << CELLS_LOG2, np.uint16), np.zeros(1 << COARSE_LOG2, np.int64)
-        for batch in batches:
-            for f, c in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                fine = np.minimum(255, fine + np.frombuffer(f, np.uint8))
-                coarse += np.frombuffer(c, np.int64)
-        yield row(fine, coarse)
+    return documents.select(F.col(id_col), F.col(text_col)).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).mapInArrow(run, schema)
+
+
+def _lists(values: pa.Array, at: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """The values as lists that begin at `at`."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[at, len(values)].astype(np.int32)), values).cast(kind)
+
+
+def _ranks(ids: pa.Array) -> np.ndarray:
+    """Integers in the order of the ids."""
+    values = ids.to_numpy(zero_copy_only=False)
+    return values if values.dtype.kind in "iu" else np.unique(values, return_inverse=True)[1]
 
-    fine, coarse = np.zeros(1 << CELLS_LOG2, np.uint16), np.zeros(1 << COARSE_LOG2, np.int64)
-    for f, c in documents.select(text_col).mapInArrow(count, schema).repartition(8).mapInArrow(add, schema).collect():
-        fine, coarse = np.minimum(255, fine + np.frombuffer(f, np.uint8)), coarse + np.frombuffer(c, np.int64)
-    return fine.astype(np.uint8), coarse
 
+def _first(c1: np.ndarray, c2: np.ndarray, ids: pa.Array, line: np.ndarray) -> np.ndarray:
+    """Which lines are the first of their class. Lines that repeat an id and a place are one."""
+    rank = _ranks(ids)
+    order = np.lexsort((line, rank, c2, c1))
+    c1, c2, rank, line = (v[order] for v in (c1, c2, rank, line))
+    at = _starts(c1) if not len(c1) else np.flatnonzero(np.r_[True, (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])])
+    head = np.repeat(at, np.diff(np.r_[at, len(c1)]))
+    out = np.zeros(len(order), bool)
+    out[order] = (rank == rank[head]) & (line == line[head])
+    return out
 
-def bit_map(df: DataFrame, columns: list[str], hashes) -> np.ndarray:
-    """A map of fixed size with the bits of all rows set; `hashes` makes the rows' 64-bit
-    hashes from the columns' lists. One blob a task, eight reach the driver."""
-    schema = T.StructType([T.StructField("bits", T.BinaryType())])
+
+def equal_lines(surveyed: DataFrame) -> DataFrame:
+    """(id, line) of lines that equal an earlier one. A class meets in one task, with a row
+    for each task that has it, however many lines it has."""
+    kind = surveyed.schema["ids"].dataType.elementType
+    schema = T.StructType([T.StructField("id", kind), T.StructField("line", T.IntegerType())])
     arrow = to_arrow_schema(schema)
-    size = 1 << MAP_BITS_LOG2
 
-    def row(bits):
-        return pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], schema=arrow)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
 
-    def fill(batches):
-        bits = np.zeros(size, bool)
-        for batch in batches:
-            bits[(hashes([c.to_pylist() for c in batch.columns]) >> np.uint64(64 - MAP_BITS_LOG2)).astype(np.int64)] = True
-        yield row(bits)
+        def made() -> pa.RecordBatch:
+            c1, c2, line = (np.concatenate(c) for c in list(zip(*held, strict=True))[:3])
+            ids = pa.concat_arrays([x[3] for x in held])
+            rest = np.flatnonzero(~_first(c1, c2, ids, line))
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(rest)), pa.array(line[rest])], schema=arrow)
 
-    def unite(batches):
-        bits = np.zeros(size, bool)
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                bits |= np.unpackbits(np.frombuffer(blob, np.uint8)).view(bool)
-        yield row(bits)
-
-    bits = np.zeros(size, bool)
-    for (blob,) in df.select(*columns).mapInArrow(fill, schema).repartition(8).mapInArrow(unite, schema).collect():
-        bits |= np.unpackbits(np.frombuffer(blob, np.uint8)).view(bool)
-    return bits
-
-
-def prefix_rows(documents: DataFrame, id_col: str, text_col: str, counts, only: np.ndarray | None = None, probes: np.ndarray | None = None, plain: bool = False) -> DataFrame:
-    """A row for each token of each line's prefix: key (32 bits of the token or its cell), id,
-    line, sizes (n, the distinct tokens; the token's place in the line's order of rarity;
-    whether the cell lies off the grid's diagonal), b0 and b1 (a parity sketch: it differs from another line's in no more
-    bits than the sets differ in tokens), part (of a frequent token's cell, else -1).
-
-    Tokens that occur once in all documents are left out: no other line has them. Lines of
-    one or two tokens match equal sets only, so the whole set stands as their token. `only`
-    is a map of the tokens wanted, `probes` one of the lines to mark as probes; `plain` gives the tokens themselves as keys, without cells."""
-    held = documents.sparkSession.sparkContext.broadcast((*counts, only, probes))  # fixed sizes
-    schema = T.StructType([T.StructField("key", T.LongType() if plain else T.IntegerType()), common.field(documents, id_col, "id"), *(T.StructField(c, t) for c, t in (("line", T.IntegerType()), ("sizes", T.LongType()), ("b0", T.LongType()), ("b1", T.LongType()), ("part", T.IntegerType())))])
+            data, lists = batch.column(2).to_pylist(), batch.column(3)
+            for i, (kind, part) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if part != now and held:
+                    yield made()
+                    held = []
+                ids, now = lists[i].values, part
+                m = len(ids)
+                if kind == _EQUAL:
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.frombuffer(data[i], np.int32))], schema=arrow)
+                else:
+                    held.append((np.frombuffer(data[i], np.uint64, m), np.frombuffer(data[i], np.uint64, m, 8 * m), np.frombuffer(data[i], np.int32, m, 16 * m), ids))
+        if held:
+            yield made()
+        common.trim()
+
+    lines = surveyed.where(F.col("kind") != _COUNTED)
+    return lines.repartition(_parts(surveyed.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, schema)
+
+
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, counts) of several such, the tokens in order."""
+    token, n = np.concatenate([t for t, _ in held]), np.concatenate([n for _, n in held])
+    order = np.argsort(token)
+    at = _starts(token[order])
+    return token[order][at], np.add.reduceat(n[order], at) if len(at) else n
+
+
+#: The greatest counts that the ranks stand for: six ranks to a doubling, 0 for the rest.
+_COUNTS = np.r_[0, (2.0 ** (np.arange(1, 256) / 6)).astype(np.int64)]
+
+
+class Head(NamedTuple):
+    """The ranks of the most frequent tokens by their exact counts, in cells by the upper bits
+    of their hashes; a cell has the greatest rank. A rare token may so pass for a frequent one,
+    for one in sixteen at most; it does everywhere, and the order decides the work alone.
+    `total` is the number of words of all texts, of tokens that occur twice."""
+
+    cells: np.ndarray
+    total: int
+
+    @classmethod
+    def of(cls, token: np.ndarray, n: np.ndarray, total: int) -> Head:
+        cells = np.zeros(1 << CELLS_LOG2, np.uint8)
+        np.maximum.at(cells, (token >> np.uint64(64 - CELLS_LOG2)).astype(np.int64), np.searchsorted(_COUNTS[:-1], n).astype(np.uint8))
+        return cls(cells, total)
+
+    def ranks(self, h: np.ndarray) -> np.ndarray:
+        """The tokens' ranks, rarer ones first, 0 for those not in the head."""
+        return self.cells[(h >> np.uint64(64 - CELLS_LOG2)).astype(np.int32)].astype(np.uint64)
+
+
+def token_counts(surveyed: DataFrame) -> Head:
+    """Exact counts over all texts. Each part of the tokens is summed by one task; of the sums
+    a histogram of 64 cells at most and HEAD tokens at most reach the driver."""
+    schema = T.StructType([T.StructField("token", T.LongType()), T.StructField("n", T.LongType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def made():
+            token, n = _summed(held)
+            return pa.RecordBatch.from_arrays([pa.array(token[n > 1].view(np.int64)), pa.array(n[n > 1])], schema=arrow)
+
         for batch in batches:
-            for part in common.slices(batch):
-                yield from rows_of(part.column(0), part.column(1).to_pylist())
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part != now and held:
+                    yield made()
+                    held = []
+                now, m = part, len(blob) // 16
+                held.append((np.frombuffer(blob, np.uint64, m), np.frombuffer(blob, np.int64, m, 8 * m)))
+                if len(held) % 64 == 0:
+                    held = [_summed(held)]
+        if held:
+            yield made()
         common.trim()
 
-    def rows_of(ids: pa.Array, texts: list[str | None]) -> Iterator[pa.RecordBatch]:
-        fine, coarse, wanted, asked = held.value
-        number, h, owner, place = lines_of(texts)
-        marked = np.zeros(len(owner), bool)
-        if asked is not None:
-            marked = asked[(_line_hash(ids.to_pylist(), owner, place) >> np.uint64(64 - MAP_BITS_LOG2)).astype(np.int64)]
-        a, b = _cells(h)
-        often = coarse[b]
-        rank = fine[a].astype(np.int64)
-        once = rank == 1
-        rank = np.where(rank < 192, rank, 192 + np.clip(4 * np.log2(np.maximum(often, 192) / 192), 0, 63).astype(np.int64))
-        cuts = np.searchsorted(number, np.arange(0, len(owner) + _LINES, _LINES))
-        for k in range(len(cuts) - 1):
-            s = slice(cuts[k], cuts[k + 1])
-            if cuts[k] == cuts[k + 1]:
-                continue
-            local = (number[s] - k * _LINES).astype(np.uint64)
-            sort = (local << np.uint64(52)) | (rank[s].astype(np.uint64) << np.uint64(_HASH_BITS)) | (common.mix(h[s]) >> np.uint64(64 - _HASH_BITS))
-            order = np.argsort(sort)
-            sort, freq, lone = sort[order], often[s][order], once[s][order]
-            keep = np.r_[True, sort[1:] != sort[:-1]]
-            sort, freq, lone = sort[keep], freq[keep], lone[keep]
-            own, token = (sort >> np.uint64(52)).astype(np.int64), sort & _TOKEN_MASK
-            at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            line = own[at]
-            n = np.diff(np.r_[at, len(own)])
-            index = np.repeat(np.arange(len(at)), n)
-            pos = np.arange(len(own)) - at[index]
-            bit = np.uint64(1) << (token & np.uint64(63))
-            low = ((token >> np.uint64(6)) & np.uint64(1)) == 0
-            b0, b1 = (np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), at) for half in (low, ~low))
-            with np.errstate(over="ignore"):
-                whole = common.mix(np.add.reduceat(common.mix(token), at) + n.astype(np.uint64))
-            prefix = n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1
-            small = n <= 2
-            chosen = np.where(small[index], pos == 0, (pos < prefix[index]) & ~lone)
-            key = np.where(small[index], whole[index], common.mix(token))
-            if wanted is not None:
-                chosen &= wanted[(key >> np.uint64(64 - MAP_BITS_LOG2)).astype(np.int64)]
-            take = np.flatnonzero(chosen)
-            if not len(take):
-                continue
-            index, pos, key, freq = index[take], pos[take], key[take], np.where(small[index[take]], 0, freq[take])
-            # a frequent token's rows go to a row and a column of the grid of its cells
-            parts = np.maximum(1, -(-(freq * (not plain)) // GROUP_ROWS))
-            with np.errstate(over="ignore"):
-                part = (common.mix(whole[index] + (k * _LINES + line[index]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % parts.astype(np.uint64)).astype(np.int64)
-            copies = np.repeat(np.arange(len(index)), parts)
-            other = np.arange(len(copies)) - np.repeat(np.cumsum(parts) - parts, parts)
-            mine = part[copies]
-            cell = np.where(parts[copies] > 1, np.minimum(mine, other) * 65_537 + np.maximum(mine, other) + 1, 0)
+    blobs = surveyed.where(F.col("kind") == _COUNTED).select("part", "data")
+    counts = common.written(blobs.repartition(_parts(surveyed.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, schema), "token-counts")
+    cells = counts.groupBy(F.floor(F.log2("n")).alias("log2")).agg(F.count("*").alias("tokens"), F.sum("n").alias("words")).orderBy(F.desc("log2")).collect()
+    least, room = 62, HEAD
+    for cell in cells:
+        room -= cell["tokens"]
+        if room < 0:
+            break
+        least = cell["log2"]
+    top = counts.where(F.col("n") >= F.lit(1 << least)).toArrow()
+    return Head.of(top["token"].to_numpy().view(np.uint64), top["n"].to_numpy(), sum(c["words"] for c in cells))
+
+
+class Map:
+    """A set of 64-bit hashes by some of their bits, packed; has them all, and few others."""
+
+    def __init__(self, rows: DataFrame, column: str, n: int):
+        """`n` hashes. Built by parts of 4 KB, folded map-side; 16 MB at most reach the driver."""
+        self.bits = min(MAP_BITS_LOG2, max(15, (32 * n).bit_length()))
+        place = F.shiftrightunsigned(column, 64 - self.bits) + 1  # buckets count from 1
+        parts = rows.where(F.col(column).isNotNull()).groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+        self.bytes = np.zeros(1 << (self.bits - 3), np.uint8)
+        for k, bits in parts:
+            self.bytes[4_096 * (k - 1) : 4_096 * k] = np.frombuffer(bits, np.uint8)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (self.bytes[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+class _Prefixes(NamedTuple):
+    """Rows of prefixes of some lines: key, line's number, its size, its tokens that can't be
+    common to a match found by the key, two halves of a parity sketch, and the part it is dealt to, of how many."""
+
+    key: np.ndarray
+    line: np.ndarray
+    n: np.ndarray
+    pos: np.ndarray
+    b0: np.ndarray
+    b1: np.ndarray
+    part: np.ndarray
+    parts: np.ndarray
+
+
+def _prefixes(number: np.ndarray, h: np.ndarray, head: Head, most: int, new) -> Iterator[_Prefixes]:
+    """Of lines by their words, some lines at a time. `new` says of the lines (numbers, hashes
+    of the sequences of words) which to give.
+
+    Of n tokens in order of rarity the first n - t + 1 are keys, where t = ceil(3 n / 4) is the
+    least overlap with any match. Two matching lines have t tokens in common, and the k-th of
+    these is among the first n - t + k of each: so a token of a count over `most` is a key with
+    each later one of the first n - t + 2, and if that is frequent too, with each later one of
+    the first n - t + 3. Lines of one or two tokens match equal sets only: their set is the key."""
+    cuts = np.searchsorted(number, np.arange(0, int(number[-1]) + 1 + _LINES, _LINES)) if len(number) else [0]
+    for k in range(len(cuts) - 1):
+        s = slice(cuts[k], cuts[k + 1])
+        if cuts[k] == cuts[k + 1]:
+            continue
+        local = (number[s] - k * _LINES).astype(np.uint64)
+        at = _starts(local)
+        given = new(k * _LINES + local[at].astype(np.int64), _sequences(h[s], at, False)[0])
+        sort = (local << np.uint64(52)) | (head.ranks(h[s]) << np.uint64(_HASH_BITS)) | (h[s] >> np.uint64(64 - _HASH_BITS))
+        sort.sort()
+        sort = sort[_starts(sort)]
+        own, token = (sort >> np.uint64(52)).astype(np.int64), sort & _TOKEN_MASK
+        at = _starts(own)
+        n = np.diff(np.r_[at, len(own)])
+        bit = np.uint64(1) << (token & np.uint64(63))
+        low = ((token >> np.uint64(6)) & np.uint64(1)) == 0
+        b0, b1 = (np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), at) for half in (low, ~low))
+        mixed, count = common.mix(token), _COUNTS[(token >> np.uint64(_HASH_BITS)).astype(np.int64)]
+        with np.errstate(over="ignore"):
+            whole = common.mix(np.add.reduceat(mixed, at) + n.astype(np.uint64))
+        lines = k * _LINES + own[at]
+        at, n, b0, b1, whole, lines = (v[given] for v in (at, n, b0, b1, whole, lines))
+        small = n <= 2
+        prefix = np.where(small, 1, n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1)
+        row = np.repeat(np.arange(len(n)), prefix)
+        first = at[row] + np.arange(len(row)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+        short = small[row]
+        key, often, last = np.where(short, whole[row], mixed[first]), np.where(short, 0, count[first]), first
+        done = []
+        for level in (1, 2):
+            hot = often > most
+            done.append((row[~hot], last[~hot] - level + 1, key[~hot], often[~hot]))
+            row, key, last = row[hot], key[hot], last[hot]
+            # the later tokens, as far as the prefix of this level goes
+            more = at[row] + prefix[row] + level - 1 - last
+            copies = np.repeat(np.arange(len(row)), more)
+            after = last[copies] + 1 + np.arange(len(copies)) - np.repeat(np.cumsum(more) - more, more)
             with np.errstate(over="ignore"):
-                key = key[copies] if plain else common.mix(key[copies] + cell.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-            index, pos = index[copies], pos[copies]
-            where = k * _LINES + line[index]
-            sizes = (n[index] << 32) | (pos << 2) | (marked[where] << 1) | ((cell > 0) & (mine != other))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64) if plain else (key >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids.take(pa.array(owner[where])), pa.array(place[where].astype(np.int32)), pa.array(sizes), pa.array(b0[index].view(np.int64)), pa.array(b1[index].view(np.int64)), pa.array(np.where(cell > 0, mine, -1).astype(np.int32))],
-                schema=arrow,
-            )
+                key = common.mix(key[copies] * _STEP[1] + mixed[after])
+            row, last, often = row[copies], after, count[after]
+        done.append((row, last - 2, key, often))
+        row, before, key, often = map(np.concatenate, zip(*done, strict=True))
+        parts = np.maximum(1, -(-often // most))
+        with np.errstate(over="ignore"):
+            part = (common.mix(whole[row] * _STEP[2] + lines[row].astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
+        yield _Prefixes(key, lines[row], n[row], before - at[row], b0[row], b1[row], part, parts)
+
+
+def prefix_rows(documents: DataFrame, id_col: str, text_col: str, head: Head, parts: int, wanted: Map | None = None, probes: Map | None = None, everything: bool = False) -> DataFrame:
+    """The rows of all lines' prefixes, packed by part of the join: part, data, ids.
+
+    A line is given once a task, with its copies' least id and place, as far as the task
+    remembers. `wanted` has the keys wanted; lines in `probes`, or `everything`, are marked and
+    go to all parts of a frequent key, other lines to one."""
+    held = documents.sparkSession.sparkContext.broadcast((head, wanted, probes))  # of bounded sizes
+    most = GROUP_ROWS
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("ids", T.ArrayType(documents.schema[id_col].dataType))])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, wanted, probes = held.value
+        seen, waiting, size = {}, [], 0
+        for batch in batches:
+            for piece in common.slices(batch):
+                ids = piece.column(0)
+                keys = ids.to_pylist()
+                number, h, owner, place = lines_of(common.encoded(piece.column(1)))
+                marked = np.full(len(owner), everything)
+                if probes is not None:
+                    marked = probes.has(_line_hash(ids, owner, place))
+
+                def new(lines, words, keys=keys, owner=owner, place=place, marked=marked):
+                    if len(seen) > REMEMBERED:
+                        seen.clear()
+                    give = marked[lines]
+                    for i, (c, o, p) in enumerate(zip(words.tolist(), owner[lines].tolist(), place[lines].tolist(), strict=True)):
+                        before, mine = seen.get(c), (keys[o], p)
+                        if before is None or mine < before:
+                            seen[c] = mine
+                            give[i] = True
+                    return give
+
+                for rows in _prefixes(number, h, head, most, new):
+                    mark = marked[rows.line]
+                    if wanted is not None:
+                        take = wanted.has(rows.key)
+                        rows, mark = _Prefixes(*(v[take] for v in rows)), mark[take]
+                    copies = np.repeat(np.arange(len(mark)), np.where(mark, rows.parts, 1))
+                    cell = np.where(mark[copies], np.arange(len(copies)) - np.searchsorted(copies, copies), rows.part[copies])
+                    salted = rows.parts[copies] > 1
+                    with np.errstate(over="ignore"):
+                        key = np.where(salted, common.mix(rows.key[copies] + (cell + 1).astype(np.uint64) * _STEP[1]), rows.key[copies])
+                    flags = (cell != rows.part[copies]) * _CROSS + salted * _SALTED + mark[copies] * _PROBE
+                    line = rows.line[copies]
+                    fit = lambda v, c=copies: np.minimum(v[c], 65_535).astype(np.uint16)
+                    waiting.append(((key >> np.uint64(32)) % np.uint64(parts), key.astype(np.uint32), place[line].astype(np.int32), fit(rows.n), fit(rows.pos), flags.astype(np.uint8), rows.b0[copies], rows.b1[copies], ids.take(pa.array(owner[line]))))
+                    size += len(key)
+                if size > 500_000:
+                    yield packed(waiting)
+                    waiting, size = [], 0
+        if waiting:
+            yield packed(waiting)
+        del waiting, seen
+        common.trim()
+
+    def packed(waiting: list) -> pa.RecordBatch:
+        part, *columns = (np.concatenate(c) for c in list(zip(*waiting, strict=True))[:-1])
+        order = np.argsort(part, kind="stable")
+        at = _starts(part[order])
+        columns = [c[order] for c in columns]
+        ids = pa.concat_arrays([w[-1] for w in waiting]).take(pa.array(order))
+        blobs = [b"".join(c[s].tobytes() for c in columns) for s in map(slice, at.tolist(), [*at[1:].tolist(), len(order)])]
+        return pa.RecordBatch.from_arrays([pa.array(part[order][at].astype(np.int32)), pa.array(blobs, pa.binary()), _lists(ids, at, arrow.field(2).type)], schema=arrow)
+
+    return documents.select(F.col(id_col), F.col(text_col)).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).mapInArrow(run, schema)
+
 
-    return documents.select(F.col(id_col), F.col(text_col)).where(F.col(id_col).isNotNull()).mapInArrow(run, schema)
+_ROW = tuple((np.dtype(t), np.dtype(t).itemsize) for t in (np.uint32, np.int32, np.uint16, np.uint16, np.uint8, np.uint64, np.uint64))
 
 
 class _Group:
-    """Finds candidates among the rows of whole groups, sorted by key, id and line."""
-
-    def __init__(self, table: pa.Table, everything: bool):
-        ids = table["id"].combine_chunks()
-        _, rank = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)
-        key, line = table["key"].to_numpy(), table["line"].to_numpy()
-        order = np.lexsort((line, rank, key))
-        self.key, self.rank, self.line = key[order], rank[order], line[order]
-        sizes = table["sizes"].to_numpy()[order]
-        self.n, self.pos, self.cross, self.part = sizes >> 32, (sizes & 0xFFFFFFFF) >> 2, (sizes & 1).astype(bool), table["part"].to_numpy()[order]
-        self.b0, self.b1 = (table[c].to_numpy()[order].view(np.uint64) for c in ("b0", "b1"))
-        self.probe = (sizes & 2) > 0
-        self.ids, self.order, self.everything = ids, order, everything
-
-    def passes(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of pairs of rows: whether no filter rules them out, the bits in which their
-        sketches differ, and the tokens in which matching sets may differ."""
-        nx, ny, px, py = self.n[x], self.n[y], self.pos[x], self.pos[y]
-        overlap = (3 * (nx + ny) + 6) // 7
-        slack = nx + ny - 2 * overlap
-        ok = DENOMINATOR * np.minimum(nx, ny) >= NUMERATOR * np.maximum(nx, ny)
-        ok &= np.minimum(px, py) + 1 + np.minimum(nx - px, ny - py) - 1 >= overlap
-        apart = np.bitwise_count(self.b0[x] ^ self.b0[y]).astype(np.int64) + np.bitwise_count(self.b1[x] ^ self.b1[y])
-        ok &= apart <= slack
-        ok &= ~(self.cross[x] & (self.part[x] == self.part[y]))
-        ok &= (self.rank[x] != self.rank[y]) | (self.line[x] != self.line[y])
-        return ok, apart, slack
-
-    def candidates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(y, x, apart, more): each later row with the earlier one whose sketch is nearest, and
-        whether there may be others; with `everything`, all pairs of rows marked as probes."""
-        start = np.flatnonzero(np.r_[True, self.key[1:] != self.key[:-1]])
-        size = np.diff(np.r_[start, len(self.key)])
-        stop = np.repeat(start + size, size)
-        ys, xs, ds, ss = [], [], [], []
-
-        def test(x, y):
-            if self.everything:
-                x, y = x[self.probe[y]], y[self.probe[y]]
-            ok, apart, slack = self.passes(x, y)
-            for held, v in zip((ys, xs, ds, ss), (y, x, apart, slack), strict=True):
-                held.append(v[ok])
-            return y[ok][2 * apart[ok] <= slack[ok]]
-
-        small = np.repeat(size <= _SMALL, size)
-        rows = np.flatnonzero(small)
-        for d in range(1, min(_SMALL, int(size.max(initial=1)))):
-            rows = rows[rows + d < stop[rows]]
+    """The rows of a part, by key and size; keys of one row are left out."""
+
+    def __init__(self, blobs: list[bytes], ids: pa.Array):
+        columns = [[] for _ in _ROW]
+        for blob in blobs:
+            m, at = len(blob) // sum(s for _, s in _ROW), 0
+            for held, (kind, size) in zip(columns, _ROW, strict=True):
+                held.append(np.frombuffer(blob, kind, m, at))
+                at += m * size
+        key, *rest = map(np.concatenate, columns)
+        order = np.argsort(key)
+        sorted_ = key[order]
+        first = np.r_[True, sorted_[1:] != sorted_[:-1]]
+        rows = order[~(first & np.r_[first[1:], True])]
+        line, n, pos, flags, b0, b1 = (v[rows] for v in rest)
+        taken = ids.take(pa.array(rows))
+        rank = _ranks(taken)
+        place, group = np.empty(len(rows), np.int64), np.cumsum(first[~(first & np.r_[first[1:], True])])
+        if len(rows) and int(rank.max()) - int(rank.min()) < 1 << 40 and int(line.max()) < 1 << 23:
+            by = np.argsort((rank - rank.min()).astype(np.int64) << 23 | line)
+        else:
+            by = np.lexsort((line, rank))
+        # lines that repeat an id and a place are one
+        place[by] = np.cumsum(np.r_[False, (rank[by][1:] != rank[by][:-1]) | (line[by][1:] != line[by][:-1])])[: len(by)]
+        order = np.argsort(group << 43 | n.astype(np.int64) << 27 | place) if len(rows) < 1 << 20 else np.lexsort((place, n, group))
+        self.key, self.line, self.place, self.b0, self.b1 = key[rows][order], line[order], place[order], b0[order], b1[order]
+        self.n, self.pos = n[order].astype(np.int32), pos[order].astype(np.int32)
+        self.cross, self.salted, self.probe = (flags[order] & f > 0 for f in (_CROSS, _SALTED, _PROBE))
+        self.ids, self.order = taken, order
+        start = _starts(self.key)
+        self.stop = np.repeat(np.r_[start[1:], len(self.key)], np.diff(np.r_[start, len(self.key)]))
+
+    def take(self, rows: np.ndarray) -> pa.Array:
+        return self.ids.take(pa.array(self.order[rows]))
+
+    def passing(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs of rows, the smaller set first, those that no filter rules out: (x, y, the
+        bits in which their sketches differ, the tokens in which matching sets may differ),
+        y the later line. No common token precedes a key's in a pair that must be found there,
+        so what follows bounds the overlap. Sizes and places of 65 535 stand for any greater
+        ones too, and filter nothing."""
+        na, nb = self.n[a], self.n[b]
+        large = nb == 65_535
+        overlap = (3 * (na + nb) + 6) // 7
+        keep = (np.minimum(na - self.pos[a], nb - self.pos[b]) >= overlap) | large
+        a, b, slack, large = a[keep], b[keep], (na + nb - 2 * overlap)[keep], large[keep]
+        if large.any():
+            slack = np.where(large, 1 << 20, slack)
+        apart = np.bitwise_count(self.b0[a] ^ self.b0[b]).astype(np.int32) + np.bitwise_count(self.b1[a] ^ self.b1[b])
+        keep = apart <= slack
+        a, b, apart, slack = a[keep], b[keep], apart[keep], slack[keep]
+        keep = ~(self.cross[a] & self.cross[b]) & (self.place[a] != self.place[b])  # rows from other parts meet in one of these
+        a, b, apart, slack = a[keep], b[keep], apart[keep], slack[keep]
+        swap = self.place[a] > self.place[b]
+        return np.where(swap, b, a), np.where(swap, a, b), apart, slack
+
+    def steps(self, limit: int | None = None) -> Iterator[tuple[np.ndarray, int]]:
+        """Rows of which the d-th next has the same key and a size that may match, for d = 1, 2 and so on."""
+        rows, d = np.arange(len(self.key)), 1
+        while limit is None or d <= limit:
+            rows = rows[rows + d < self.stop[rows]]
+            rows = rows[NUMERATOR * self.n[rows + d] <= DENOMINATOR * self.n[rows]]
             if not len(rows):
                 break
-            test(rows, rows + d)
-        for s, m in zip(start[size > _SMALL].tolist(), size[size > _SMALL].tolist(), strict=True):
-            open_ = np.ones(m, bool)
-            for block in range(0, m, 32):
-                x = np.arange(block, min(m, block + 32))
-                y = np.flatnonzero(open_)
-                y = y[y > block]
-                if not len(y):
-                    break
-                for part in range(0, len(y), 16_384):
-                    pair_y, pair_x = (v.ravel() for v in np.meshgrid(y[part : part + 16_384], x, indexing="ij"))
-                    later = pair_y > pair_x
-                    done = test(s + pair_x[later], s + pair_y[later])
-                    if not self.everything:
-                        open_[done - s] = False
-        if not ys:
-            none = np.zeros(0, np.int64)
-            return none, none, none, none.astype(bool)
-        y, x, d, slack = map(np.concatenate, (ys, xs, ds, ss))
-        if self.everything:
-            return y, x, d, np.zeros(len(y), bool)
-        order = np.lexsort((x, d, y))
-        y, x, d, slack = y[order], x[order], d[order], slack[order]
-        head = np.flatnonzero(np.r_[True, y[1:] != y[:-1]]) if len(y) else np.zeros(0, np.int64)
-        more = (np.diff(np.r_[head, len(y)]) > 1) | ~small[y[head]]  # large groups stop early
-        return y[head], x[head], d[head], more
+            yield rows, d
+            d += 1
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(y, x): all pairs of rows of a key that the filters let pass, some at a time."""
-        start = np.flatnonzero(np.r_[True, self.key[1:] != self.key[:-1]])
-        size = np.diff(np.r_[start, len(self.key)])
-        stop, rows, d = np.repeat(start + size, size), np.arange(len(self.key)), 1
-        while len(rows := rows[rows + d < stop[rows]]):
-            x = rows[self.passes(rows, rows + d)[0]]
-            yield x + d, x
-            d += 1
+        """(y, x): all pairs of rows of a key, the later one a probe, that the filters let pass, some at a time."""
+        for rows, d in self.steps():
+            rows = rows[self.probe[rows] | self.probe[rows + d]]
+            for part in range(0, len(rows), 1 << 18):
+                a = rows[part : part + (1 << 18)]
+                x, y, _, _ = self.passing(a, a + d)
+                keep = self.probe[y]
+                yield y[keep], x[keep]
+
+    def nearest(self) -> tuple[np.ndarray, ...]:
+        """(y, x, apart, sure, more): later rows with earlier ones, the nearest by their sketches;
+        one if that is all but certain to match, else PARTNERS; `more` if there may be others,
+        as there may beyond a sure one. A row is done when it has a sure partner. Rows of
+        frequent keys that meet none are given with x = -1, since other parts may have some."""
+        done = np.zeros(len(self.key), bool)
+        held = [[] for _ in range(4)]
+
+        def test(a, b):
+            later = np.where(self.place[a] > self.place[b], a, b)
+            open_ = ~done[later]
+            x, y, apart, slack = self.passing(a[open_], b[open_])
+            sure = _SURE[apart] <= slack
+            done[y[sure]] = True
+            for h, v in zip(held, (y, x, apart, sure), strict=True):
+                h.append(v)
+
+        last = np.zeros(0, np.int64)
+        for rows, d in self.steps(_NEAR + 1):
+            if d > _NEAR:
+                last = rows
+                break
+            test(rows, rows + d)
+        # greater groups: what isn't done meets all that is farther than _NEAR in the group
+        for s in _starts(self.stop[last]).tolist():
+            t = self.stop[last[s]]
+            begin = last[s]
+            group = np.arange(begin, t)
+            for i in group.tolist():
+                if done[i] and not (~done[i + _NEAR + 1 : t]).any():
+                    continue
+                b = np.arange(i + _NEAR + 1, np.searchsorted(self.n[i:t], DENOMINATOR * self.n[i] // NUMERATOR, "right") + i)
+                if done[i]:
+                    b = b[~done[b] & (self.place[b] > self.place[i])]
+                if len(b):
+                    test(np.full(len(b), i), b)
+        none = np.zeros(0, np.int64)
+        y, x, apart, sure = (np.concatenate([none.astype(bool) if i == 3 else none, *h]) for i, h in enumerate(held))
+        order = np.lexsort((x, apart, y))
+        y, x, apart, sure = y[order], x[order], apart[order], sure[order]
+        head = _starts(y)
+        n = np.diff(np.r_[head, len(y)])
+        nth = np.arange(len(y)) - np.repeat(head, n)
+        keep = nth < np.where(sure[np.repeat(head, n)], 1, PARTNERS)
+        more = np.repeat(n > PARTNERS, n) | self.salted[y] | done[y]
+        y, x, apart, sure, more = y[keep], x[keep], apart[keep], sure[keep], more[keep]
+        alone = self.salted.copy()
+        alone[y] = False
+        alone = np.flatnonzero(alone)
+        fill = lambda v, w: np.r_[v, np.full(len(alone), w, v.dtype)]
+        return np.r_[y, alone], fill(x, -1), fill(apart, 0), fill(sure, False), fill(more, True)
+
+
+def _joined(rows: DataFrame, parts: int, schema: T.StructType, work) -> DataFrame:
+    """`work` on the group of each part; a part comes to one task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blobs, ids = None, [], []
+        for batch in batches:
+            data, lists = batch.column(1).to_pylist(), batch.column(2)
+            for i, part in enumerate(batch.column(0).to_pylist()):
+                if part != now and blobs:
+                    yield from work(_Group(blobs, pa.concat_arrays(ids)))
+                    blobs, ids = [], []
+                now = part
+                blobs.append(data[i])
+                ids.append(lists[i].values)
+        if blobs:
+            yield from work(_Group(blobs, pa.concat_arrays(ids)))
+        del blobs, ids
+        common.trim()
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by key, in tables of whole groups."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        if sum(b.num_rows for b in held) < 100_000:
-            continue
-        table = pa.Table.from_batches(held)
-        keys = table["key"].to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
-        if cut:
-            yield table.slice(0, cut)
-        held = table.slice(cut).combine_chunks().to_batches()
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def candidates(rows: DataFrame, everything: bool = False, partitions: int | None = None) -> DataFrame:
-    """(id, line, x_id, x_line, more): lines with earlier ones that may match them.
-
-    Each line gets its likeliest partner, of one for each prefix token, and `more` says
-    whether there may be others; with `everything`, the lines marked as probes get every
-    partner that the filters let pass. A task holds a batch of rows and one group, which
-    GROUP_ROWS bounds."""
-    kind = common.field(rows, "id").dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("line", T.IntegerType()), T.StructField("x_id", kind), T.StructField("x_line", T.IntegerType()), T.StructField("apart", T.IntegerType()), T.StructField("more", T.BooleanType())])
+    return rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, schema)
+
+
+def _pair_schema(kind: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("id", kind), T.StructField("line", T.IntegerType()), T.StructField("x_id", kind), T.StructField("x_line", T.IntegerType()), T.StructField("yh", T.LongType()), T.StructField("xh", T.LongType()), T.StructField("apart", T.IntegerType()), T.StructField("sure", T.BooleanType()), T.StructField("more", T.BooleanType())])
+
+
+def _emitter(kind: T.DataType):
+    schema = _pair_schema(kind)
     arrow = to_arrow_schema(schema)
 
-    def emit(table: pa.Table) -> pa.RecordBatch:
-        group = _Group(table, everything)
-        y, x, apart, more = group.candidates()
-        take = lambda at: group.ids.take(pa.array(group.order[at]))
-        return pa.RecordBatch.from_arrays([take(y).cast(arrow.field(0).type), pa.array(group.line[y]), take(x).cast(arrow.field(2).type), pa.array(group.line[x]), pa.array(apart.astype(np.int32)), pa.array(more)], schema=arrow)
+    def emit(group: _Group, y, x, apart, sure, more) -> pa.RecordBatch:
+        alone = pa.array(x < 0)
+        ids, x_ids, x_lines = group.take(y), group.take(x), group.line[x]
+        own = lambda a, lines: _line_hash(a, np.arange(len(a)), lines).view(np.int64)
+        void = lambda a: pc.if_else(alone, pa.nulls(len(a), a.type), a)
+        return pa.RecordBatch.from_arrays(
+            [ids.cast(arrow.field(0).type), pa.array(group.line[y]), void(x_ids.cast(arrow.field(2).type)), void(pa.array(x_lines)), pa.array(own(ids, group.line[y])), void(pa.array(own(x_ids, x_lines))), pa.array(apart.astype(np.int32)), pa.array(sure), pa.array(more)],
+            schema=arrow,
+        )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            if sum(b.num_rows for b in held) < 100_000:
-                continue
-            table = pa.Table.from_batches(held)
-            keys = table["key"].to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
-            if cut:
-                yield emit(table.slice(0, cut))
-            held = table.slice(cut).combine_chunks().to_batches()
-        if held:
-            yield emit(pa.Table.from_batches(held))
-        del held
-        common.trim()
+    return schema, emit
+
+
+def candidates(rows: DataFrame, parts: int) -> DataFrame:
+    """(id, line, partners, more): lines with the earlier ones likeliest to match them, by all keys."""
+    schema, emit = _emitter(rows.schema["ids"].dataType.elementType)
+
+    def work(group: _Group):
+        y, *rest = group.nearest()
+        if len(y):
+            yield emit(group, y, *rest)
+
+    found = _joined(rows, parts, schema, work)
+    one = F.struct((~F.col("sure")).alias("doubt"), "apart", "x_id", "x_line", "xh")
+    both = found.groupBy("id", "line", "yh").agg(F.min(F.when(F.col("x_line").isNotNull(), one)).alias("best"), F.collect_set(F.when(F.col("x_line").isNotNull() & ~F.col("sure"), one)).alias("all"), F.max("more").alias("more"))
+    partners = F.when(~F.col("best.doubt"), F.array("best")).otherwise(F.slice(F.array_sort("all"), 1, PARTNERS))
+    return both.select("id", "line", "yh", partners.alias("partners"), (F.col("more") | (F.size("all") > PARTNERS)).alias("more"))
+
+
+def all_candidates(rows: DataFrame, parts: int) -> DataFrame:
+    """(id, line, yh, x_id, x_line, xh): the probes with every earlier line that the filters let pass."""
+    schema, emit = _emitter(rows.schema["ids"].dataType.elementType)
+
+    def work(group: _Group):
+        for y, x in group.pairs():
+            if len(y):
+                no = np.zeros(len(y), bool)
+                yield emit(group, y, x, np.zeros(len(y), np.int32), no, no)
 
-    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "key").sortWithinPartitions("key")
-    found = dealt.mapInArrow(run, schema)
-    if everything:
-        return found.select("id", "line", "x_id", "x_line", "more").distinct()
-    near = F.min(F.struct("apart", "x_id", "x_line")).alias("x")
-    more = F.max("more") | (F.min(F.struct("x_id", "x_line")) != F.max(F.struct("x_id", "x_line")))
-    return found.groupBy("id", "line").agg(near, more.alias("more")).select("id", "line", "x.x_id", "x.x_line", "more")
+    return _joined(rows, parts, schema, work).select("id", "line", "yh", "x_id", "x_line", "xh").distinct()
 
 
 def _tokens(line: str) -> frozenset[bytes]:
     return frozenset(line.encode("utf-8", "replace").translate(common._LOWER).split())
 
 
-def _line_hash(ids: list, owner: np.ndarray, lines: np.ndarray) -> np.ndarray:
-    """Of lines, whose id is the one that `owner` numbers."""
-    own = np.fromiter((xxhash.xxh3_64_intdigest(str(i)) for i in ids), np.uint64, len(ids))
-    with np.errstate(over="ignore"):
-        return common.mix(own[owner] + lines.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def _concerned(documents: DataFrame, hashes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, line, text) of the lines that have one of `hashes` (h), and of few others; written."""
+    held = documents.sparkSession.sparkContext.broadcast(Map(hashes, "h", hashes.count()))  # 16 MB at most
+    schema = T.StructType([common.field(documents, id_col, "id"), T.StructField("line", T.IntegerType()), T.StructField("text", T.StringType())])
+    arrow = to_arrow_schema(schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in common.slices(batch):
+                ids, texts = piece.column(0), common.encoded(piece.column(1))
+                data = common.TEXT_END.join(texts) + common.TEXT_END
+                whole = np.frombuffer(data, np.uint8)
+                stops = np.flatnonzero((whole == 10) | (whole == 255))
+                owner = np.searchsorted(np.flatnonzero(whole == 255), stops)
+                first = np.searchsorted(owner, np.arange(len(texts)))
+                place = np.arange(len(owner)) - first[owner]
+                hit = np.flatnonzero(held.value.has(_line_hash(ids, owner, place)))
+                begin = np.r_[0, stops + 1]
+                lines = [data[a:b] for a, b in zip(begin[hit].tolist(), stops[hit].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner[hit])), pa.array(place[hit].astype(np.int32)), pa.array(lines, pa.binary()).cast(pa.string())], schema=arrow)
+        common.trim()
 
-def _hash_rows(columns: list[list]) -> np.ndarray:
-    return _line_hash(columns[0], np.arange(len(columns[0])), np.array(columns[1], np.int64))
+    lines = documents.select(id_col, text_col).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).mapInArrow(run, schema)
+    return common.written(lines, "lines-concerned")
 
 
-def _concerned(documents: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(id, line, text) of the later and of the earlier lines in `pairs`, and of few others."""
-    ends = pairs.select("id", "line"), pairs.select(F.col("x_id").alias("id"), F.col("x_line").alias("line"))
-    schema = T.StructType([common.field(documents, id_col, "id"), T.StructField("line", T.IntegerType()), T.StructField("text", T.StringType())])
-    whole = documents.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    out = []
-    for end in ends:
-        bits = bit_map(end, ["id", "line"], _hash_rows)
-        held = documents.sparkSession.sparkContext.broadcast(bits)  # a fixed size
-
-        def make(held=held):
-            def work(columns):
-                out = [], [], []
-                for key, text in zip(*columns, strict=True):
-                    lines = text.split("\n")
-                    hashes = _line_hash([key], np.zeros(len(lines), np.int64), np.arange(len(lines)))
-                    for i in np.flatnonzero(held.value[(hashes >> np.uint64(64 - MAP_BITS_LOG2)).astype(np.int64)]).tolist():
-                        out[0].append(key)
-                        out[1].append(i)
-                        out[2].append(lines[i])
-                return out
-
-            return work
-
-        out.append(common.map_arrow(whole, [id_col, text_col], schema, make))
-    return out[0], out[1]
-
-
-def _decided(pairs: DataFrame, lines: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """(id, line, gone, more, text): whether one of its partners has a Jaccard of 3/4 or
-    more; the text only of lines that stay but may have other partners."""
-    earlier = lines[1].select(F.col("id").alias("x_id"), F.col("line").alias("x_line"), F.col("text").alias("x_text"))
-    found = pairs.join(earlier, ["x_id", "x_line"]).join(lines[0], ["id", "line"])
-    schema = T.StructType([common.field(found, "id"), T.StructField("line", T.IntegerType()), T.StructField("gone", T.BooleanType()), T.StructField("more", T.BooleanType()), T.StructField("text", T.StringType())])
+def _matches(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, line) of the later lines of pairs that have a Jaccard of 3/4 or more."""
+    earlier = lines.select(F.col("id").alias("x_id"), F.col("line").alias("x_line"), F.col("text").alias("x_text"))
+    found = pairs.select("id", "line", "x_id", "x_line").join(earlier, ["x_id", "x_line"]).join(lines, ["id", "line"])
+    schema = T.StructType([common.field(found, "id"), T.StructField("line", T.IntegerType())])
 
     def make():
         def work(columns):
-            ids, places, more, texts, others = columns
-            gone = []
-            for a, b in zip(texts, others, strict=True):
+            ids, places, texts, others = columns
+            out = [], []
+            for key, line, a, b in zip(ids, places, texts, others, strict=True):
                 a, b = _tokens(a), _tokens(b)
                 both = len(a & b)
-                gone.append(both > 0 and DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both))
-            return ids, places, gone, more, [None if g or not m else t for g, m, t in zip(gone, more, texts, strict=True)]
+                if both and DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both):
+                    out[0].append(key)
+                    out[1].append(line)
+            return out
 
         return work
 
-    return common.map_arrow(found, ["id", "line", "more", "text", "x_text"], schema, make)
+    return common.map_arrow(found, ["id", "line", "text", "x_text"], schema, make)
 
 
 def matched_lines(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line) of every line that an earlier one matches."""
     rows = documents.select(F.col(id_col), F.col(text_col))
-    counts = token_counts(rows, text_col)
-    pairs = common.written(candidates(prefix_rows(rows, id_col, text_col, counts)), "line-pairs")
-    decided = common.written(_decided(pairs, _concerned(rows, pairs, id_col, text_col)), "lines-decided")
-    gone, open_ = decided.where("gone").select("id", "line").distinct(), decided.where("not gone and more")
-    if open_.isEmpty():
-        return gone
-    tokens = prefix_rows(open_.select("id", "text"), "id", "text", counts, plain=True)
-    wanted = bit_map(tokens, ["key"], lambda c: np.array(c[0], np.int64).view(np.uint64))
-    rest = candidates(prefix_rows(rows, id_col, text_col, counts, wanted, bit_map(open_, ["id", "line"], _hash_rows)), everything=True)
-    rest = common.written(rest, "line-pairs-rest")
-    again = _decided(rest, _concerned(rows, rest, id_col, text_col))
-    return gone.unionByName(again.where("gone").select("id", "line").distinct())
+    surveyed = common.written(survey(rows, id_col, text_col), "line-survey")
+    equal = common.written(equal_lines(surveyed), "lines-equal")
+    head = token_counts(surveyed)
+    parts = _parts(rows.sparkSession, head.total // 3)
+    found = candidates(prefix_rows(rows, id_col, text_col, head, parts), parts)
+    found = common.written(found.join(equal, ["id", "line"], "left_anti"), "line-pairs")
+    pairs = found.select("id", "line", F.explode("partners").alias("x")).select("id", "line", "x.x_id", "x.x_line", "x.xh")
+    texts = _concerned(rows, found.select(F.col("yh").alias("h")).unionByName(pairs.select(F.col("xh").alias("h"))), id_col, text_col)
+    gone = common.written(_matches(pairs, texts).distinct(), "lines-matched")
+    open_ = common.written(found.where("more").select("id", "line", "yh").join(gone, ["id", "line"], "left_anti").join(texts, ["id", "line"]), "lines-open")
+    out = equal.unionByName(gone)
+    n = open_.count()
+    if n:
+        out = out.unionByName(_second_round(rows, id_col, text_col, head, parts, open_, n))
+    return out.distinct()
+
+
+def _second_round(rows: DataFrame, id_col: str, text_col: str, head: Head, parts: int, open_: DataFrame, n: int) -> DataFrame:
+    """Of lines that no partner of the first round matched, though there may be others: those
+    that one of all partners matches."""
+    held = rows.sparkSession.sparkContext.broadcast(head)
+    schema = T.StructType([T.StructField("key", T.LongType())])
+    arrow = to_arrow_schema(schema)
+    most = GROUP_ROWS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in common.slices(batch):
+                number, h, _, _ = lines_of(common.encoded(piece.column(0)))
+                for rows in _prefixes(number, h, held.value, most, lambda lines, words: np.ones(len(lines), bool)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(rows.key).view(np.int64))], schema=arrow)
+        common.trim()
+
+    keys = common.written(open_.select("text").mapInArrow(run, schema), "line-keys")
+    wanted, probes = Map(keys, "key", keys.count()), Map(open_, "yh", n)
+    rest = common.written(all_candidates(prefix_rows(rows, id_col, text_col, head, parts, wanted, probes), parts), "line-pairs-rest")
+    texts = _concerned(rows, rest.select(F.col("yh").alias("h")).unionByName(rest.select(F.col("xh").alias("h"))), id_col, text_col)
+    return common.written(_matches(rest, texts).distinct(), "lines-matched-rest")
 
 
 def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -441,34 +741,38 @@ def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Returns all columns, the text without removed lines, and __tw_n_lines and __tw_removed
     (their places). Null texts stay null and have one line, without tokens. Rows with a
-    null id are given back as they are. Rows that repeat an id are one document: their lines
-    aren't held against each other. An empty table gives an empty result.
-
-    A line first meets, for each of its prefix tokens, the earlier line with the nearest
-    sketch, so that a line with many near copies costs a few pairs. Lines that fail there
-    though there may be others meet, in a second round, all that the filters let pass."""
+    null id are given back as they are. Rows that repeat an id are one document: a line is
+    known by id and place, so lines of one place aren't held against each other, and what is
+    found for a place holds for each of the rows. An empty table gives an empty result.
+
+    A line first meets, for each of its keys, the earlier lines with the nearest sketches, and
+    is done when one is all but certain, so that a line with many near copies costs a few
+    pairs. Lines that no such partner matches though there may be others meet, in a second
+    round, all that the filters let pass."""
     gone = matched_lines(documents, id_col, text_col).groupBy(F.col("id").alias("__tw_key")).agg(F.collect_list("line").alias("__tw_gone"))
     joined = documents.join(gone, documents[id_col] == F.col("__tw_key"), "left").drop("__tw_key")
     schema = T.StructType([*documents.schema.fields, T.StructField("__tw_n_lines", T.LongType()), T.StructField("__tw_removed", T.ArrayType(T.IntegerType()))])
-    names = documents.columns
-    at = names.index(text_col)
-
-    def make():
-        def work(columns):
-            texts, counts, removed = [], [], []
-            for text, gone in zip(columns[at], columns[-1], strict=True):
-                lines = (text or "").split("\n")
-                out = sorted({i for i in gone or () if i < len(lines)})
-                drop = set(out)
-                texts.append("\n".join([x for i, x in enumerate(lines) if i not in drop]) if out else text)
-                counts.append(len(lines))
-                removed.append(out)
-            columns[at] = texts
-            return [*columns[:-1], counts, removed]
+    arrow = to_arrow_schema(schema)
+    at = documents.columns.index(text_col)
 
-        return work
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in common.slices(batch):
+                *columns, held = piece.columns
+                texts, counts, removed, changed = common.encoded(columns[at]), [], [], False
+                for i, (text, gone) in enumerate(zip(texts, held.to_pylist(), strict=True)):
+                    counts.append((text or b"").count(b"\n") + 1)
+                    out = sorted({k for k in gone or () if k < counts[-1]})
+                    removed.append(out)
+                    if out:
+                        drop, changed = set(out), True
+                        texts[i] = b"\n".join([x for k, x in enumerate(text.split(b"\n")) if k not in drop])
+                if changed:
+                    columns[at] = pa.array(texts, pa.binary()).cast(columns[at].type)
+                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(columns, arrow, strict=False)), pa.array(counts, pa.int64()), pa.array(removed, arrow.field(len(arrow) - 1).type)], schema=arrow)
+        common.trim()
 
-    return common.map_arrow(joined, [*names, "__tw_gone"], schema, make)
+    return joined.select(*documents.columns, "__tw_gone").mapInArrow(run, schema)
 
 
 def clean(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
@@ -509,31 +813,17 @@ def _members(documents: DataFrame, id_col: str, text_col: str, with_line: bool)
 
 def _pairs(classes: DataFrame) -> DataFrame:
     """(y, x): the pairs of classes, by number, that the filters let pass; every one."""
-    counts = token_counts(classes, "line")
-    rows = prefix_rows(classes, "number", "line", counts)
+    head = token_counts(common.written(survey(classes, "number", "line"), "class-survey"))
+    parts = _parts(classes.sparkSession, head.total // 3)
     schema = T.StructType([T.StructField("y", T.LongType()), T.StructField("x", T.LongType())])
     arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(held):
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], schema=arrow)
-
-        for table in _groups(batches):
-            group = _Group(table, True)
-            ids = group.ids.to_numpy()[group.order]
-            held, n = [], 0
-            for y, x in group.pairs():
-                held.append((ids[y], ids[x]))
-                n += len(y)
-                if n >= PAIRS:
-                    yield made(held)
-                    held, n = [], 0
-            if n:
-                yield made(held)
-        common.trim()
+    def work(group: _Group):
+        ids = group.ids.to_numpy()[group.order]
+        for y, x in group.pairs():
+            yield pa.RecordBatch.from_arrays([pa.array(ids[y]), pa.array(ids[x])], schema=arrow)
 
-    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, schema).distinct()
+    return _joined(prefix_rows(classes, "number", "line", head, parts, everything=True), parts, schema, work).distinct()
 
 
 def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
