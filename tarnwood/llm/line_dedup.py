@@ -32,8 +32,8 @@ HEAD, CELLS_LOG2 = 1 << 19, 23
 GROUP_ROWS = 20_000
 #: Rows of prefixes that a part of the join holds, about.
 PART_ROWS = 400_000
-#: Partners of a line that are verified in the first round, if none is all but certain.
-PARTNERS = 8
+#: Partners of a line that are verified in the first round, at most: of all but certain ones, of others.
+SURE_PARTNERS, PARTNERS = 3, 32
 #: Bits of the maps that say which lines or keys a pass concerns, at most; fewer let more through.
 MAP_BITS_LOG2 = 27
 #: Pairs that are verified together, about; bounds a worker's memory, never results.
@@ -291,11 +291,12 @@ class Map:
 
 
 class _Prefixes(NamedTuple):
-    """Rows of prefixes of some lines: key, line's number, its size, its tokens that can't be
+    """Rows of prefixes of some lines: key, line's number, a hash of its words, its size, its tokens that can't be
     common to a match found by the key, two halves of a parity sketch, and the part it is dealt to, of how many."""
 
     key: np.ndarray
     line: np.ndarray
+    words: np.ndarray
     n: np.ndarray
     pos: np.ndarray
     b0: np.ndarray
@@ -320,7 +321,8 @@ def _prefixes(number: np.ndarray, h: np.ndarray, head: Head, most: int, new) ->
             continue
         local = (number[s] - k * _LINES).astype(np.uint64)
         at = _starts(local)
-        given = new(k * _LINES + local[at].astype(np.int64), _sequences(h[s], at, False)[0])
+        words = _sequences(h[s], at, False)[0]
+        given = new(k * _LINES + local[at].astype(np.int64), words)
         sort = (local << np.uint64(52)) | (head.ranks(h[s]) << np.uint64(_HASH_BITS)) | (h[s] >> np.uint64(64 - _HASH_BITS))
         sort.sort()
         sort = sort[_starts(sort)]
@@ -334,7 +336,7 @@ def _prefixes(number: np.ndarray, h: np.ndarray, head: Head, most: int, new) ->
         with np.errstate(over="ignore"):
             whole = common.mix(np.add.reduceat(mixed, at) + n.astype(np.uint64))
         lines = k * _LINES + own[at]
-        at, n, b0, b1, whole, lines = (v[given] for v in (at, n, b0, b1, whole, lines))
+        at, n, b0, b1, whole, lines, words = (v[given] for v in (at, n, b0, b1, whole, lines, words))
         small = n <= 2
         prefix = np.where(small, 1, n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1)
         row = np.repeat(np.arange(len(n)), prefix)
@@ -358,7 +360,7 @@ def _prefixes(number: np.ndarray, h: np.ndarray, head: Head, most: int, new) ->
         parts = np.maximum(1, -(-often // most))
         with np.errstate(over="ignore"):
             part = (common.mix(whole[row] * _STEP[2] + lines[row].astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
-        yield _Prefixes(key, lines[row], n[row], before - at[row], b0[row], b1[row], part, parts)
+        yield _Prefixes(key, lines[row], words[row], n[row], before - at[row], b0[row], b1[row], part, parts)
 
 
 def prefix_rows(documents: DataFrame, id_col: str, text_col: str, head: Head, parts: int, wanted: Map | None = None, probes: Map | None = None, everything: bool = False) -> DataFrame:
@@ -408,7 +410,7 @@ def prefix_rows(documents: DataFrame, id_col: str, text_col: str, head: Head, pa
                     flags = (cell != rows.part[copies]) * _CROSS + salted * _SALTED + mark[copies] * _PROBE
                     line = rows.line[copies]
                     fit = lambda v, c=copies: np.minimum(v[c], 65_535).astype(np.uint16)
-                    waiting.append(((key >> np.uint64(32)) % np.uint64(parts), key.astype(np.uint32), place[line].astype(np.int32), fit(rows.n), fit(rows.pos), flags.astype(np.uint8), rows.b0[copies], rows.b1[copies], ids.take(pa.array(owner[line]))))
+                    waiting.append(((key >> np.uint64(32)) % np.uint64(parts), key.astype(np.uint32), place[line].astype(np.int32), rows.words[copies].astype(np.uint32), fit(rows.n), fit(rows.pos), flags.astype(np.uint8), rows.b0[copies], rows.b1[copies], ids.take(pa.array(owner[line]))))
                     size += len(key)
                 if size > 500_000:
                     yield packed(waiting)
@@ -430,7 +432,7 @@ def prefix_rows(documents: DataFrame, id_col: str, text_col: str, head: Head, pa
     return documents.select(F.col(id_col), F.col(text_col)).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).mapInArrow(run, schema)
 
 
-_ROW = tuple((np.dtype(t), np.dtype(t).itemsize) for t in (np.uint32, np.int32, np.uint16, np.uint16, np.uint8, np.uint64, np.uint64))
+_ROW = tuple((np.dtype(t), np.dtype(t).itemsize) for t in (np.uint32, np.int32, np.uint32, np.uint16, np.uint16, np.uint8, np.uint64, np.uint64))
 
 
 class _Group:
@@ -448,7 +450,7 @@ class _Group:
         sorted_ = key[order]
         first = np.r_[True, sorted_[1:] != sorted_[:-1]]
         rows = order[~(first & np.r_[first[1:], True])]
-        line, n, pos, flags, b0, b1 = (v[rows] for v in rest)
+        line, words, n, pos, flags, b0, b1 = (v[rows] for v in rest)
         taken = ids.take(pa.array(rows))
         rank = _ranks(taken)
         place, group = np.empty(len(rows), np.int64), np.cumsum(first[~(first & np.r_[first[1:], True])])
@@ -462,7 +464,9 @@ class _Group:
         self.key, self.line, self.place, self.b0, self.b1 = key[rows][order], line[order], place[order], b0[order], b1[order]
         self.n, self.pos = n[order].astype(np.int32), pos[order].astype(np.int32)
         self.cross, self.salted, self.probe = (flags[order] & f > 0 for f in (_CROSS, _SALTED, _PROBE))
-        self.ids, self.order = taken, order
+        self.words, self.ids, self.order = words[order], taken, order
+        # the greatest size that a larger set may have, three times: no common token precedes the key's
+        self.most = np.where(self.n == 65_535, 1 << 30, DENOMINATOR * self.n - 7 * self.pos)
         start = _starts(self.key)
         self.stop = np.repeat(np.r_[start[1:], len(self.key)], np.diff(np.r_[start, len(self.key)]))
 
@@ -495,7 +499,7 @@ class _Group:
         rows, d = np.arange(len(self.key)), 1
         while limit is None or d <= limit:
             rows = rows[rows + d < self.stop[rows]]
-            rows = rows[NUMERATOR * self.n[rows + d] <= DENOMINATOR * self.n[rows]]
+            rows = rows[NUMERATOR * self.n[rows + d] <= self.most[rows]]
             if not len(rows):
                 break
             yield rows, d
@@ -513,16 +517,20 @@ class _Group:
 
     def nearest(self) -> tuple[np.ndarray, ...]:
         """(y, x, apart, sure, more): later rows with earlier ones, the nearest by their sketches;
-        one if that is all but certain to match, else PARTNERS; `more` if there may be others,
+        SURE_PARTNERS if the first is all but certain to match, else PARTNERS; `more` if there may be others,
         as there may beyond a sure one. A row is done when it has a sure partner. Rows of
         frequent keys that meet none are given with x = -1, since other parts may have some."""
-        done = np.zeros(len(self.key), bool)
+        done, known = np.zeros((2, len(self.key)), bool)
         held = [[] for _ in range(4)]
 
         def test(a, b):
             later = np.where(self.place[a] > self.place[b], a, b)
             open_ = ~done[later]
             x, y, apart, slack = self.passing(a[open_], b[open_])
+            # equal sequences of words are known already
+            same = (apart == 0) & (self.words[x] == self.words[y]) & (self.n[x] == self.n[y])
+            done[y[same]] = known[y[same]] = True
+            x, y, apart, slack = x[~same], y[~same], apart[~same], slack[~same]
             sure = _SURE[apart] <= slack
             done[y[sure]] = True
             for h, v in zip(held, (y, x, apart, sure), strict=True):
@@ -542,7 +550,7 @@ class _Group:
             for i in group.tolist():
                 if done[i] and not (~done[i + _NEAR + 1 : t]).any():
                     continue
-                b = np.arange(i + _NEAR + 1, np.searchsorted(self.n[i:t], DENOMINATOR * self.n[i] // NUMERATOR, "right") + i)
+                b = np.arange(i + _NEAR + 1, np.searchsorted(self.n[i:t], self.most[i] // NUMERATOR, "right") + i)
                 if done[i]:
                     b = b[~done[b] & (self.place[b] > self.place[i])]
                 if len(b):
@@ -550,15 +558,17 @@ class _Group:
         none = np.zeros(0, np.int64)
         y, x, apart, sure = (np.concatenate([none.astype(bool) if i == 3 else none, *h]) for i, h in enumerate(held))
         order = np.lexsort((x, apart, y))
+        order = order[~known[y[order]]]
         y, x, apart, sure = y[order], x[order], apart[order], sure[order]
         head = _starts(y)
         n = np.diff(np.r_[head, len(y)])
         nth = np.arange(len(y)) - np.repeat(head, n)
-        keep = nth < np.where(sure[np.repeat(head, n)], 1, PARTNERS)
+        keep = nth < np.where(sure[np.repeat(head, n)], SURE_PARTNERS, PARTNERS)
         more = np.repeat(n > PARTNERS, n) | self.salted[y] | done[y]
         y, x, apart, sure, more = y[keep], x[keep], apart[keep], sure[keep], more[keep]
         alone = self.salted.copy()
         alone[y] = False
+        alone &= ~known
         alone = np.flatnonzero(alone)
         fill = lambda v, w: np.r_[v, np.full(len(alone), w, v.dtype)]
         return np.r_[y, alone], fill(x, -1), fill(apart, 0), fill(sure, False), fill(more, True)
@@ -618,9 +628,9 @@ def candidates(rows: DataFrame, parts: int) -> DataFrame:
 
     found = _joined(rows, parts, schema, work)
     one = F.struct((~F.col("sure")).alias("doubt"), "apart", "x_id", "x_line", "xh")
-    both = found.groupBy("id", "line", "yh").agg(F.min(F.when(F.col("x_line").isNotNull(), one)).alias("best"), F.collect_set(F.when(F.col("x_line").isNotNull() & ~F.col("sure"), one)).alias("all"), F.max("more").alias("more"))
-    partners = F.when(~F.col("best.doubt"), F.array("best")).otherwise(F.slice(F.array_sort("all"), 1, PARTNERS))
-    return both.select("id", "line", "yh", partners.alias("partners"), (F.col("more") | (F.size("all") > PARTNERS)).alias("more"))
+    both = found.groupBy("id", "line", "yh").agg(F.array_sort(F.collect_set(F.when(F.col("x_line").isNotNull(), one))).alias("all"), F.max("more").alias("more"))
+    n = F.when(F.get("all", F.lit(0))["doubt"], PARTNERS).otherwise(SURE_PARTNERS)
+    return both.select("id", "line", "yh", F.slice("all", F.lit(1), n).alias("partners"), (F.col("more") | (F.size("all") > n)).alias("more"))
 
 
 def all_candidates(rows: DataFrame, parts: int) -> DataFrame:
