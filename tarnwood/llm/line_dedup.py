@@ -467,8 +467,8 @@ class _Group:
         self.words, self.ids, self.order = words[order], taken, order
         # the greatest size that a larger set may have, three times: no common token precedes the key's
         self.most = np.where(self.n == 65_535, 1 << 30, DENOMINATOR * self.n - 7 * self.pos)
-        start = _starts(self.key)
-        self.stop = np.repeat(np.r_[start[1:], len(self.key)], np.diff(np.r_[start, len(self.key)]))
+        ends = np.r_[_starts(self.key), len(self.key)]
+        self.stop = np.repeat(ends[1:], np.diff(ends))
 
     def take(self, rows: np.ndarray) -> pa.Array:
         return self.ids.take(pa.array(self.order[rows]))
