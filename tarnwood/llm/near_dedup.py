@@ -6,9 +6,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tarnwood.llm import common
 from tarnwood.llm.components import components
@@ -25,6 +27,12 @@ MANTISSA = 10
 _VALUE_BITS = 58
 #: Pairs whose estimate is under this aren't verified: 4.5 standard errors under PERCENT.
 LEAST_ESTIMATE = 0.5
+#: Rounds in which each bucket that holds several components gets another pivot.
+ROUNDS = 2
+#: Rows of a block of a family in the last step, about; a group holds two blocks.
+BLOCK_ROWS = 1_024
+#: Shingles that are compared at a time as bits, pairs that are.
+_BITS, _PAIRS = 1 << 16, 2_048
 _PART = 1 << 14
 _ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -181,15 +189,158 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return common.map_arrow(joined, ["a", "b", "ta", "tb"], schema, make)
 
 
-def _cross(rows: DataFrame, id_type: T.DataType) -> DataFrame:
-    """Pairs of documents that share a band and are in different components.
+def _alike(n: str, m: str) -> Column:
+    """Whether sets of these sizes may link."""
+    return F.expr(f"100 * least({n}, {m}) >= {PERCENT} * greatest({n}, {m})")
 
-    Keys whose documents are all in one component give none, so a group of near copies
-    that is linked already costs nothing, whatever its size."""
-    mixed = rows.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("key")
-    held = rows.join(mixed, "key")
-    other = held.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    return held.withColumnRenamed("rep", "a").join(other, "key").where((F.col("component") < F.col("cb"))).select("a", "b").distinct()
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """key, rows, and the largest component of the buckets that hold several; folded map-side."""
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    both = parts.groupBy("key").agg(F.sum("n").alias("rows"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("largest"))
+    return both.where("parts > 1").select("key", "rows", F.col("largest.component").alias("largest"))
+
+
+def _pivoted(rows: DataFrame, nodes: DataFrame, salt: int) -> DataFrame:
+    """(a, b): each row's likeliest partner among the pivots, one to a bucket, drawn by hash,
+    that are in another component. A pivot is a row of the bucket's largest component, from the second round on."""
+    if salt:
+        rows = rows.join(_mixed(rows), "key")
+        drawn = F.struct((F.col("component") != F.col("largest")).alias("small"), F.xxhash64("rep", "key", F.lit(salt)).alias("o"), "rep", "component", "n")
+    else:
+        drawn = F.struct(F.lit(False).alias("small"), F.xxhash64("rep", "key").alias("o"), "rep", "component", "n")
+    pivots = rows.groupBy("key").agg(F.min(drawn).alias("p"), F.count("*").alias("rows")).where("rows > 1").select("key", F.col("p.rep").alias("b"), F.col("p.component").alias("cb"), F.col("p.n").alias("nb"))
+    pairs = rows.select("key", F.col("rep").alias("a"), "component", "n").join(pivots, "key").where((F.col("component") != F.col("cb")) & _alike("n", "nb"))
+    found = common.written(_estimated(pairs.select("a", "b").distinct(), nodes), "stars")
+    return found.groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b"))
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """rep and its shingles, 50 bits each, in order."""
+    schema = T.StructType([common.field(texts, "id", "rep"), T.StructField("set", T.BinaryType())])
+
+    def make():
+        def work(columns):
+            ids, texts = columns
+            out = []
+            for _, n, text, value in shingle_sets(texts):
+                at = np.searchsorted(text, np.arange(n + 1))
+                out += [value[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            return ids, out
+
+        return work
+
+    return common.map_arrow(texts, ["id", "text"], schema, make)
+
+
+def _shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many shingles the sets of each pair have in common."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    value, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times > 1
+    owner, number = owner[often[number]], (np.cumsum(often) - 1)[number[often[number]]]
+    out = np.zeros(len(i), np.int64)
+    for at in range(0, int(often.sum()), _BITS):
+        here = (number >= at) & (number < at + _BITS)
+        bits = np.zeros((len(sets), _BITS // 8), np.uint8)
+        place = number[here] - at
+        np.bitwise_or.at(bits, (owner[here], place >> 3), np.uint8(1) << (place & 7).astype(np.uint8))
+        words = -(-min(_BITS, int(often.sum()) - at) // 64)
+        bits = bits.view(np.uint64)[:, :words]
+        for k in range(0, len(i), _PAIRS):
+            out[k : k + _PAIRS] += np.bitwise_count(bits[i[k : k + _PAIRS]] & bits[j[k : k + _PAIRS]]).sum(1, dtype=np.int64)
+    return out
+
+
+def _joined_in(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): rows of pairs that link, enough of them to join all that do."""
+    component = np.unique(group["component"].combine_chunks().to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    rank = np.unique(group["rep"].combine_chunks().to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    n, own = (group[c].to_numpy() for c in ("n", "own"))
+    is_small = group["small"].to_numpy(zero_copy_only=False).astype(bool)
+    small, mingled = np.flatnonzero(is_small), group["mingled"][0].as_py()
+    one = len(np.unique(own)) == 1
+    regs = np.frombuffer(b"".join(group["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    bands = band_keys(regs)
+    sets = [np.frombuffer(x, np.uint64) for x in group["set"].to_pylist()]
+    out, step = ([], []), max(1, 40_000 // len(n))
+    for at in range(0, len(small), step):
+        some = small[at : at + step]
+        low, high = np.minimum(n[some, None], n[None]), np.maximum(n[some, None], n[None])
+        keep = (component[some, None] != component[None]) & (100 * low >= PERCENT * high)
+        if mingled:
+            keep &= ~is_small[None]
+        else:
+            keep &= (rank[some, None] < rank[None]) & (one | (own[some, None] != own[None]))
+        i, j = np.nonzero(keep)
+        i = some[i]
+        keep = (bands[i] == bands[j]).any(1)
+        i, j = i[keep], j[keep]
+        keep = estimate(regs[i], regs[j]) >= LEAST_ESTIMATE
+        i, j = i[keep], j[keep]
+        if not len(i):
+            continue
+        rows, places = np.unique(np.r_[i, j], return_inverse=True)
+        both = _shared([sets[r] for r in rows.tolist()], places[: len(i)], places[len(i) :])
+        linked = 100 * both >= PERCENT * (n[i] + n[j] - both)
+        for x, y in zip(i[linked].tolist(), j[linked].tolist(), strict=True):
+            if component[x] != component[y]:
+                component[component == component[y]] = component[x]
+                out[0].append(x)
+                out[1].append(y)
+    return np.array(out[0], np.int64), np.array(out[1], np.int64)
+
+
+def _residue(rows: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links between rows of a bucket that are in different components still; enough
+    of them to join all that link. All pairs that neither the sizes nor the estimate rule out
+    are held against each other on full sets.
+
+    Buckets that share rows are a family. Its largest component and its other rows are cut
+    into blocks, and every two blocks meet in a group but those of the largest component: so
+    what is linked already costs a row for each block of the others, a group has a bounded
+    number of rows, and no pair leaves a task but a link that joins two components. A
+    family of m rows that aren't linked costs m * m / BLOCK_ROWS rows."""
+    mixed = rows.join(_mixed(rows).select("key"), "key").select("key", "rep", "component", "n")
+    mixed = common.written(mixed, "mixed")
+    least = mixed.groupBy("key").agg(F.min("rep").alias("b"))
+    family = components(mixed.select("key", F.col("rep").alias("a")).join(least, "key").select("a", "b")).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    held = mixed.select("rep", "component", "n").dropDuplicates(["rep"]).join(family, "rep")
+    held = common.written(held, "families")
+    parts = held.groupBy("family", "component").agg(F.count("*").alias("k"))
+    sizes = parts.groupBy("family").agg(F.sum("k").alias("k"), F.max(F.struct("k", "component")).alias("largest"))
+    blocks = lambda k: F.ceil(k / BLOCK_ROWS).cast("long")
+    sizes = sizes.select("family", "largest.component", blocks(F.col("largest.k")).alias("qm"), blocks(F.col("k") - F.col("largest.k")).alias("qs")).withColumnRenamed("component", "largest")
+    held = held.join(sizes, "family").withColumn("small", F.col("component") != F.col("largest"))
+    held = held.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("small"), F.col("qs")).otherwise(F.col("qm"))))
+    alike = F.expr("transform(sequence(0L, qs - 1), k -> struct(false as mingled, least(own, k) * qs + greatest(own, k) as cell))")
+    mingled = F.expr("transform(sequence(0L, qm - 1), k -> struct(true as mingled, own * qm + k as cell))")
+    major = F.expr("transform(sequence(0L, qs - 1), k -> struct(true as mingled, k * qm + own as cell))")
+    held = held.withColumn("at", F.explode(F.when(F.col("small"), F.concat(alike, mingled)).otherwise(major)))
+    dealt = held.select("family", "at.*", "own", "small", "rep", "component", "n").join(nodes, "rep").join(_sets(texts), "rep")
+    dealt = dealt.select("family", "mingled", "cell", "own", "small", "rep", "component", "n", "regs", "set")
+    schema = T.StructType([common.field(rows, "rep", "a"), common.field(rows, "rep", "b")])
+    arrow = to_arrow_schema(schema)
+
+    def link(group: pa.Table) -> pa.Table:
+        a, b = _joined_in(group)
+        reps = group["rep"].combine_chunks()
+        return pa.table([reps.take(pa.array(a)), reps.take(pa.array(b))], schema=arrow)
+
+    return dealt.groupBy("family", "mingled", "cell").applyInArrow(link, schema)
+
+
+def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(rep, component) of all rows that are linked, after more links between rows."""
+    if labels is None:
+        return common.written(components(links).withColumnRenamed("node", "rep"), "components")
+    edges = links
+    for end in ("a", "b"):
+        edges = edges.join(labels.select(F.col("rep").alias(end), F.col("component").alias(f"c{end}")), end, "left").withColumn(end, F.coalesce(f"c{end}", end)).drop(f"c{end}")
+    merged = common.written(components(edges.select("a", "b")), "merged")
+    old = labels.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("rep", F.coalesce("to", "component").alias("component"))
+    new = merged.join(labels, merged["node"] == labels["rep"], "left_anti").select(F.col("node").alias("rep"), "component")
+    return common.written(old.unionByName(new), "components")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,10 +352,12 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     1. Documents with equal sets are one class, found by a 128-bit digest: copies cost one
        row each and no pairs.
-    2. In each band's bucket one class, drawn by hash, is the pivot; every other one is
-       paired with it, estimated, and verified against its best pivot on full sets.
-    3. The links' components are made. Buckets that still hold several components give
-       the pairs between these; all that the estimate doesn't rule out are verified.
+    2. In each band's bucket one class, drawn by hash, is the pivot; every other one of
+       another component is paired with it, estimated, and verified against its best pivot
+       on full sets. The links' components are made. Buckets that hold several components
+       get another pivot, ROUNDS times in all.
+    3. Rows of buckets that still hold several components are held against those of the
+       others; all pairs that the estimate doesn't rule out are verified.
     With 21 bands of 3 registers a pair of Jaccard 0.75 shares no band with probability 1e-5.
 
     Rows that repeat an id are each given; they are one node. A null id is never a
@@ -216,21 +369,28 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     reps = common.written(classes.where("rep is not null"), "classes")
     # a class may share its least id with another one where an id is repeated: one node
     nodes = reps.groupBy("rep").agg(F.first("regs").alias("regs"))
-    exploded = reps.select("rep", F.explode("bands").alias("key"))
-    pivots = exploded.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("o"), "rep")).alias("p"), F.count("*").alias("n")).where("n > 1").select("key", F.col("p.rep").alias("b"))
-    stars = exploded.withColumnRenamed("rep", "a").join(pivots, "key").where("a != b").select("a", "b").distinct()
-    stars = common.written(_estimated(stars, nodes), "stars")
-    concerned = exploded.join(pivots, "key").select(F.col("rep").alias("id")).distinct()
+    exploded = reps.select("rep", "n", F.posexplode("bands").alias("band", "key"))
+    shared = exploded.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
+    exploded = common.written(exploded.join(shared, "key"), "buckets")  # other rows meet nothing
+    concerned = exploded.select(F.col("rep").alias("id")).distinct()
     texts = common.written(source.where("id is not null").join(concerned, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b"))
-    links = common.written(_verified(best, texts), "links")
-    first = common.written(components(links), "components")
-    labelled = exploded.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    cross = _cross(labelled, rows.schema["id"].dataType)
-    more = common.written(_verified(_estimated(cross, nodes).select("a", "b"), texts), "more-links")
-    final = components(links.unionByName(more))
-    labels = reps.select("h1", "h2", "n", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
-    joined = rows.select("id", "n", "h1", "h2").join(labels, ["h1", "h2", "n"], "left")
+    labels = None
+
+    def labelled() -> DataFrame:
+        if labels is None:
+            return exploded.withColumn("component", F.col("rep"))
+        return exploded.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+    for salt in range(ROUNDS):
+        links = common.written(_verified(_pivoted(labelled(), nodes, salt), texts), "links")
+        if links.isEmpty():
+            break
+        labels = _relabelled(labels, links)
+    links = common.written(_residue(labelled(), nodes, texts), "more-links")
+    if labels is None or not links.isEmpty():
+        labels = _relabelled(labels, links)
+    final = reps.select("h1", "h2", "n", "rep").join(labels, "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
+    joined = rows.select("id", "n", "h1", "h2").join(final, ["h1", "h2", "n"], "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
