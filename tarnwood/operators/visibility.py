@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwood.functions.shared import written
+
 
 def latest(log: DataFrame, key: str = "record_id", seq: str = "seq", op: str = "op") -> DataFrame:
     """The last version of each key, tombstones included; at one sequence an upsert wins.
@@ -56,8 +58,13 @@ def check_batch(batch: DataFrame, dimension: int) -> DataFrame:
 
 def sequenced(batch: DataFrame, base: int, order: list[str]) -> DataFrame:
     """Consecutive sequence numbers from `base` + 1 in the order of `order`. Ranks are made
-    by range partition: a sort, counts a partition, and the sum of those before it."""
-    sorted_ = batch.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
-    counts = sorted_.groupBy("__p").agg(F.count("*").alias("n"), F.min("__m").alias("__first"))
+    by range partition: a sort, counts a partition, and the sum of those before it.
+
+    Partitions differ between two runs of one plan (bounds are sampled anew, and partitions
+    may be coalesced), so the sorted rows are written once, with their partition and place,
+    and counts and numbers are made of what was written."""
+    ranged = batch.repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = written(ranged.withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id()}), "sequenced")
+    counts = kept.groupBy("__p").agg(F.count("*").alias("n"), F.min("__m").alias("__first"))
     start = counts.select("__p", "__first", (F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__start"))  # one row a partition
-    return sorted_.join(F.broadcast(start), "__p").withColumn("seq", F.lit(base) + F.col("__start") + (F.col("__m") - F.col("__first")) + 1).drop("__p", "__m", "__first", "__start")
+    return kept.join(F.broadcast(start), "__p").withColumn("seq", F.lit(base) + F.col("__start") + (F.col("__m") - F.col("__first")) + 1).drop("__p", "__m", "__first", "__start")

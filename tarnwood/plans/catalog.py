@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwood.functions.shared import shared_dir
 from tarnwood.model import CharPolicy, SemanticPolicy, TokenPolicy
 from tarnwood.operators import ann, chunking, context, embedding, evaluate, fusion, lexical, predicate, provenance, reembed, rerank, vector, visibility
 
@@ -462,14 +463,24 @@ def context_budget(spark, sf_dir):
     return context.assemble_groups(rows, "conv_id", "turn", "turn", "document", "text", context.Budget(60, 2_000, 4))
 
 
+@query("SELECT 'u64:' || event_id AS record_id, row_number() OVER (ORDER BY ts, event_id) AS seq FROM events")
+def store_append(spark, sf_dir):
+    from tarnwood.model import Collection
+    from tarnwood.sources.store import Store
+
+    batch = table(spark, sf_dir, "events").select(F.concat(F.lit("u64:"), "event_id").alias("record_id"), F.lit("upsert").alias("op"), F.array(F.col("value").cast("float")).alias("vector"), F.col("event_type").alias("metadata"), "ts", "event_id")
+    store = Store(spark, f"{shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}", Collection("events", 1, "dot"))
+    store.append(batch, ["ts", "event_id"])
+    return store.tail().select("record_id", "seq")
+
+
 # --- streams: events as messages, written to the shared folder first
 
 
 def _stream(spark, sf_dir):
     from tarnwood.streaming.ingest import Ingestion
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tarnwood-checkpoints"
-    base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     good = F.to_json(F.struct(F.lit(1).alias("version"), F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"), F.struct(F.lit("u64").alias("type"), F.col("user_id").cast("string").alias("value")).alias("id"), F.array(F.col("value").cast("double")).alias("vector")))
     payload = F.when(F.col("event_id") % 50 == 7, F.lit("{broken")).when(F.col("event_id") % 50 == 9, F.lit(json.dumps({"version": 99}))).otherwise(good)
     messages = table(spark, sf_dir, "events").select((F.col("user_id") % 4).cast("int").alias("partition"), F.col("event_id").alias("offset"), payload.alias("payload"))

@@ -74,7 +74,10 @@ class Store:
         rows = visibility.sequenced(visibility.check_batch(batch, self.collection.dimension), now.sequence, order)
         number = now.version + 1
         rows.select(*[F.col(f.name).cast(f.dataType) for f in RECORD]).write.mode("errorifexists").parquet(f"{self.path}/log/batch={number}")
-        last = self.spark.read.schema(RECORD).parquet(f"{self.path}/log/batch={number}").agg(F.max("seq")).first()[0]
+        last, n, different = self.spark.read.schema(RECORD).parquet(f"{self.path}/log/batch={number}").agg(F.max("seq"), F.count("*"), F.count_distinct("seq")).first()
+        if n != batch.count() or different != n or (n and last != now.sequence + n):
+            self._delete(f"log/batch={number}")
+            raise RuntimeError(f"the batch came out with {n} rows and {different} sequences")
         return self._publish(replace(now, sequence=last or now.sequence, batches=(*now.batches, number)))
 
     def _read(self, kind: str, numbers: tuple[int, ...]) -> DataFrame:

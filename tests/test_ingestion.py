@@ -128,3 +128,24 @@ def test_reembedding(spark):
     with pytest.raises(RuntimeError):
         reembed.cutover(staged, later)
     assert reembed.recover(staged, staged, True) == "committed" and reembed.recover(staged, staged.limit(0), True) == "ready" and reembed.recover(staged, staged.limit(1), True) == "failed"
+
+
+def test_append_keeps_every_row(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tarnwood.model import Collection
+    from tarnwood.sources.store import RECORD, Store
+
+    source = str(tmp_path / "rows")
+    rows = spark.range(200_000).select(F.concat(F.lit("r"), F.col("id")).alias("record_id"), F.lit("upsert").alias("op"), F.array(F.rand(1).cast("float"), F.lit(1.0).cast("float")).alias("vector"), F.repeat(F.lit("x"), 40).alias("metadata"), F.xxhash64("id").alias("at"))
+    rows.write.parquet(source)
+    for adaptive in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        try:
+            store = Store(spark, str(tmp_path / f"store-{adaptive}"), Collection("c", 2, "dot"))
+            manifest = store.append(spark.read.parquet(source), ["at"])
+            got = store.tail().agg(F.count("*"), F.count_distinct("seq"), F.min("seq"), F.max("seq"), F.count_distinct("record_id")).first()
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        assert tuple(got) == (200_000, 200_000, 1, 200_000, 200_000)
+        assert manifest.sequence == 200_000 and [f.name for f in store.tail().schema] == RECORD.names
