@@ -6,6 +6,7 @@ import html as entities
 import math
 import random
 import re
+from bisect import bisect_left
 from functools import cache
 
 import numpy as np
@@ -36,7 +37,9 @@ BAD = {
 }
 _KIND = {w: i for i, ws in enumerate(BAD.values()) for w in ws}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
+PLAIN = re.compile(r"""<(/?)([a-zA-Z][^\s/<>"']*)([^<>"']*(?:"[^"<>]*"[^<>"']*)*)>""")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+MARK = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-label)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
@@ -56,13 +59,99 @@ class Node:
             parent.children.append(self)
 
 
+class _Tags:
+    """The tags and comments of a page, in order; time is linear in its length."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.name_end = page, page.rfind(">"), -1
+        self.marks: list[int] | None = None  # where > and quotes stand, when first asked for
+        self.ends: list[int] = []
+        self.data = True  # whether a CDATA section may end
+
+    def end(self, at: int) -> int:
+        """Where the > stands that ends a tag's attributes from `at` on, outside quotes; -1 if none does."""
+        if self.marks is None:
+            self.marks = [m.start() for m in MARK.finditer(self.page, at)]
+            n = len(self.marks)
+            self.ends, following = [-1] * (n + 1), {}
+            for i in range(n - 1, -1, -1):
+                mark = self.page[self.marks[i]]
+                if mark == ">":
+                    self.ends[i] = self.marks[i]
+                elif mark in following:
+                    self.ends[i] = self.ends[following[mark] + 1]
+                following[mark] = i
+        return self.ends[bisect_left(self.marks, at)]
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, kind, name, attributes) of the first at or after `at`; kind is "open",
+        "close" or empty. A < that begins none is text."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if plain := PLAIN.match(page, start):  # most tags; it reads no further than the next < or >
+                return start, plain.end(), "close" if plain[1] else "open", plain[2].lower(), plain[3]
+            two = page[start + 1 : start + 2]
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, "", "", ""
+            if start > self.last:
+                comment = page.find("<!--", start)
+                if comment < 0:
+                    return None
+                at = comment
+                continue
+            if two in ("!", "?"):
+                if self.data and page.startswith("<![CDATA[", start):
+                    end = page.find("]]>", start)
+                    if end >= 0:
+                        return start, end + 3, "", "", ""
+                    self.data = False
+                return start, page.find(">", start) + 1, "", "", ""
+            if two == "/":
+                if name := self.name(start + 2):
+                    return start, page.find(">", start + 2 + len(name)) + 1, "close", name.lower(), ""
+            elif name := self.name(start + 1):
+                begin = start + 1 + len(name)
+                end = page.find(">", begin)
+                if not -1 < end or page.find('"', begin, end) >= 0 or page.find("'", begin, end) >= 0:
+                    end = self.end(begin)
+                if end >= 0:
+                    return start, end + 1, "open", name.lower(), page[begin:end]
+            at = start + 1
+        return None
+
+    def name(self, at: int) -> str:
+        """The name that stands there, if one does. A name that ended nowhere before `at` isn't read again."""
+        if not self.page[at : at + 1].isalpha() or not self.page[at].isascii():
+            return ""
+        if at >= self.name_end:
+            self.name_end = NAME.match(self.page, at).end()
+        return self.page[at : self.name_end]
+
+
 def parse(page: str) -> Node:
     """The block tree of a page, however broken: inline elements dissolve into their text
-    runs, raw elements and the head are skipped, missing end tags are implied."""
+    runs, raw elements and the head are skipped, missing end tags are implied. Time is linear
+    in the page's length."""
     root = Node("#root", None)
     stack: list[tuple[str, Node]] = [("#root", root)]  # open elements; inline ones share their block's node
+    places: dict[str, list[int]] = {}  # where in the stack each element is open
+    blocks: list[int] = [0]  # and where blocks are
+    scopes: list[tuple[int, str]] = []  # and those that an implied end doesn't leave
     run: Node | None = None
-    links, at, end = 0, 0, len(page)
+    tags, links, at, end, head = _Tags(page), 0, 0, len(page), True
+
+    def push(tag: str, node: Node) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            blocks.append(len(stack))
+            if tag in SCOPE:
+                scopes.append((len(stack), tag))
+        stack.append((tag, node))
+
+    def last(tag: str) -> int:
+        held = places.get(tag)
+        return held[-1] if held else 0
 
     def say(raw: str) -> None:
         nonlocal run
@@ -80,39 +169,40 @@ def parse(page: str) -> Node:
     def pop_to(i: int) -> None:
         nonlocal run, links
         for tag, _ in stack[i:]:
+            places[tag].pop()
             if tag == "a":
                 links -= 1
             if tag not in INLINE:
+                blocks.pop()
+                if tag in SCOPE:
+                    scopes.pop()
                 run = None
         del stack[i:]
 
     while at < end:
-        found = TOKEN.search(page, at)
+        found = tags.next(at)
         if not found:
             say(page[at:])
             break
-        say(page[at : found.start()])
-        at = found.end()
-        if found[1]:
-            tag = found[1].lower()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break
+        start, after, kind, tag, attributes = found
+        say(page[at:start])
+        at = after
+        if kind == "close":
+            i = last(tag)
+            if i and (tag not in INLINE or i > blocks[-1]):  # an inline element ends within its block
+                pop_to(i)
             if tag == "p" or tag not in INLINE:
                 run = None
-        elif found[2]:
-            tag, attributes = found[2].lower(), found[3]
-            if tag in RAW and not attributes.endswith("/"):
+        elif kind == "open":
+            if tag in RAW and not (tag in ("svg", "math") and attributes.endswith("/")):
                 close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
                 at = end if not close else (page.find(">", close.start()) + 1 or end)
-                if tag not in ("svg", "math"):
-                    continue
+                continue
+            if tag in RAW:
                 continue
             if tag == "head":
-                close = re.compile(r"</head\s*>|<body[\s>]", re.I).search(page, at)
+                close = re.compile(r"</head\s*>|<body[\s>]", re.I).search(page, at) if head else None
+                head = close is not None
                 if close:
                     at = close.end() if close[0][1] == "/" else close.start()
                 continue
@@ -125,16 +215,17 @@ def parse(page: str) -> Node:
             if tag in INLINE:
                 if tag == "a":
                     links += 1
-                stack.append((tag, stack[-1][1]))
+                push(tag, stack[-1][1])
                 continue
+            # a block ends an open paragraph, an item the item before, within its scope
             closes = CLOSES.get(tag, ())
-            for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph, an item the item before
-                if stack[i][0] == "p" or stack[i][0] in closes:
-                    pop_to(i)
-                    if not closes:
-                        break
-                elif stack[i][0] in SCOPE and stack[i][0] not in closes:
-                    break
+            scope = next((i for i, t in reversed(scopes) if t not in closes), 0)
+            if not closes:
+                if (ended := last("p")) > scope:
+                    pop_to(ended)
+            else:
+                while (ended := max([last("p"), *map(last, closes)])) > scope:
+                    pop_to(ended)
             run = None
             node = Node(tag, stack[-1][1])
             if attributes and len(attributes) > 4:
@@ -148,7 +239,7 @@ def parse(page: str) -> Node:
                         if w in _KIND:
                             node.bad |= 1 << _KIND[w]
             if not attributes.endswith("/"):
-                stack.append((tag, node))
+                push(tag, node)
     return root
 
 

@@ -473,3 +473,15 @@ def test_pipeline(spark, tmp_path):
     assert clean[10] not in seen["near_dedup"] and clean[3] not in seen["decontamination"]
     assert seen["packing"] == seen["decontamination"]
     assert {x["doc_id"] for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == seen["packing"]
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    for page in ("<a " * 300_000, "<a '" * 250_000 + ">", "<foo>" * 60_000, "</x" * 300_000, "<head>" * 100_000, "<![CDATA[" * 100_000, "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000):
+        begun = time.process_time()
+        html._measure(html.parse(page))
+        assert time.process_time() - begun < 20
+    assert html.parse("<div>a</div><script src=a/>b<i></script><p>c").children[-1].tag == "p"
+    texts = [n.text for n in html._measure(html.parse("<p>a</p><script src=a/>b</script><p>c < d</p>")) if n.tag == "#"]
+    assert texts == [["a"], ["c < d"]]
