@@ -245,13 +245,13 @@ def semi_global(doc, item):
 
 def test_decontamination(spark):
     r = random.Random(6)
-    items = [" ".join(words(n, n, 900)) for n in (1, 2, 6, 12, 25)] + ["", None, "  "]
+    items = [" ".join(words(n, n, 900)) for n in (1, 2, 6, 12, 25)] + ["na\u00efve fa\u00e7ade \u00e5ngstr\u00f6m \u6f22\u5b57 \u043a\u043e\u0448\u043a\u0430 d\u00e9j\u00e0 vu " * 3, "", None, "  "]
     texts = [None, "", "clean text of no interest " * 20]
     for _ in range(25):
-        body = list(r.choice(items[:5]))
+        body = list(r.choice(items[:6]))
         for _ in range(r.randint(0, max(1, len(body) // 8))):
-            body[r.randrange(len(body))] = r.choice("xyz ")
-        texts.append(" ".join(words(r.randint(0, 9), r.random())) + "  " + "".join(body).upper() + "\n" + " ".join(words(r.randint(0, 9), r.random())))
+            body[r.randrange(len(body))] = r.choice("xyz \u00e9\u6f22")
+        texts.append(" ".join(words(r.randint(0, 9), r.random())) + "  " + "".join(c.upper() if c.isascii() else c for c in body) + "\n" + " ".join(words(r.randint(0, 9), r.random())))
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(x["doc_id"], x["item_id"]): x["distance"] for x in decontaminate.find(docs(spark, texts), benchmark).collect()}
     want = {}
