@@ -291,10 +291,11 @@ class Map:
 
 
 class _Prefixes(NamedTuple):
-    """Rows of prefixes of some lines: key, line's number, a hash of its words, its size, its tokens that can't be
+    """Rows of prefixes of some lines: key, its first token, line's number, a hash of its words, its size, its tokens that can't be
     common to a match found by the key, two halves of a parity sketch, and the part it is dealt to, of how many."""
 
     key: np.ndarray
+    token: np.ndarray
     line: np.ndarray
     words: np.ndarray
     n: np.ndarray
@@ -342,40 +343,45 @@ def _prefixes(number: np.ndarray, h: np.ndarray, head: Head, most: int, new) ->
         row = np.repeat(np.arange(len(n)), prefix)
         first = at[row] + np.arange(len(row)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
         short = small[row]
-        key, often, last = np.where(short, whole[row], mixed[first]), np.where(short, 0, count[first]), first
+        key, often, last, token = np.where(short, whole[row], mixed[first]), np.where(short, 0, count[first]), first, mixed[first]
         done = []
         for level in (1, 2):
             hot = often > most
-            done.append((row[~hot], last[~hot] - level + 1, key[~hot], often[~hot]))
-            row, key, last = row[hot], key[hot], last[hot]
+            done.append((row[~hot], last[~hot] - level + 1, key[~hot], often[~hot], token[~hot]))
+            row, key, last, token = row[hot], key[hot], last[hot], token[hot]
             # the later tokens, as far as the prefix of this level goes
             more = at[row] + prefix[row] + level - 1 - last
             copies = np.repeat(np.arange(len(row)), more)
             after = last[copies] + 1 + np.arange(len(copies)) - np.repeat(np.cumsum(more) - more, more)
             with np.errstate(over="ignore"):
                 key = common.mix(key[copies] * _STEP[1] + mixed[after])
-            row, last, often = row[copies], after, count[after]
-        done.append((row, last - 2, key, often))
-        row, before, key, often = map(np.concatenate, zip(*done, strict=True))
+            row, last, often, token = row[copies], after, count[after], token[copies]
+        done.append((row, last - 2, key, often, token))
+        row, before, key, often, token = map(np.concatenate, zip(*done, strict=True))
         parts = np.maximum(1, -(-often // most))
         with np.errstate(over="ignore"):
             part = (common.mix(whole[row] * _STEP[2] + lines[row].astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
-        yield _Prefixes(key, lines[row], words[row], n[row], before - at[row], b0[row], b1[row], part, parts)
+        yield _Prefixes(key, token, lines[row], words[row], n[row], before - at[row], b0[row], b1[row], part, parts)
 
 
-def prefix_rows(documents: DataFrame, id_col: str, text_col: str, head: Head, parts: int, wanted: Map | None = None, probes: Map | None = None, everything: bool = False) -> DataFrame:
+def _token_keys(h: np.ndarray, head: Head) -> np.ndarray:
+    """The key that each word is, as the first token of one."""
+    return common.mix((head.ranks(h) << np.uint64(_HASH_BITS)) | (h >> np.uint64(64 - _HASH_BITS)))
+
+
+def prefix_rows(documents: DataFrame, id_col: str, text_col: str, head: Head, parts: int, wanted: Map | None = None, tokens: Map | None = None, probes: Map | None = None, everything: bool = False) -> DataFrame:
     """The rows of all lines' prefixes, packed by part of the join: part, data, ids.
 
     A line is given once a task, with its copies' least id and place, as far as the task
-    remembers. `wanted` has the keys wanted; lines in `probes`, or `everything`, are marked and
+    remembers. `wanted` has the keys wanted, `tokens` the tokens they begin with; lines in `probes`, or `everything`, are marked and
     go to all parts of a frequent key, other lines to one."""
-    held = documents.sparkSession.sparkContext.broadcast((head, wanted, probes))  # of bounded sizes
+    held = documents.sparkSession.sparkContext.broadcast((head, wanted, tokens, probes))  # of bounded sizes
     most = GROUP_ROWS
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("ids", T.ArrayType(documents.schema[id_col].dataType))])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, wanted, probes = held.value
+        head, wanted, tokens, probes = held.value
         seen, waiting, size = {}, [], 0
         for batch in batches:
             for piece in common.slices(batch):
@@ -386,6 +392,11 @@ def prefix_rows(documents: DataFrame, id_col: str, text_col: str, head: Head, pa
                 if probes is not None:
                     marked = probes.has(_line_hash(ids, owner, place))
 
+                if tokens is not None:  # other lines have no wanted key
+                    some = np.zeros(len(owner), bool)
+                    some[number[tokens.has(_token_keys(h, head))]] = True
+                    number, h = number[some[number]], h[some[number]]
+
                 def new(lines, words, keys=keys, owner=owner, place=place, marked=marked):
                     if len(seen) > REMEMBERED:
                         seen.clear()
@@ -723,7 +734,7 @@ def _second_round(rows: DataFrame, id_col: str, text_col: str, head: Head, parts
     """Of lines that no partner of the first round matched, though there may be others: those
     that one of all partners matches."""
     held = rows.sparkSession.sparkContext.broadcast(head)
-    schema = T.StructType([T.StructField("key", T.LongType())])
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("token", T.LongType())])
     arrow = to_arrow_schema(schema)
     most = GROUP_ROWS
 
@@ -732,12 +743,13 @@ def _second_round(rows: DataFrame, id_col: str, text_col: str, head: Head, parts
             for piece in common.slices(batch):
                 number, h, _, _ = lines_of(common.encoded(piece.column(0)))
                 for rows in _prefixes(number, h, held.value, most, lambda lines, words: np.ones(len(lines), bool)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(rows.key).view(np.int64))], schema=arrow)
+                    yield pa.RecordBatch.from_arrays([pa.array(rows.key.view(np.int64)), pa.array(rows.token.view(np.int64))], schema=arrow)
         common.trim()
 
     keys = common.written(open_.select("text").mapInArrow(run, schema), "line-keys")
-    wanted, probes = Map(keys, "key", keys.count()), Map(open_, "yh", n)
-    rest = common.written(all_candidates(prefix_rows(rows, id_col, text_col, head, parts, wanted, probes), parts), "line-pairs-rest")
+    m = keys.count()
+    maps = Map(keys, "key", m), Map(keys, "token", m), Map(open_, "yh", n)
+    rest = common.written(all_candidates(prefix_rows(rows, id_col, text_col, head, parts, *maps), parts), "line-pairs-rest")
     texts = _concerned(rows, rest.select(F.col("yh").alias("h")).unionByName(rest.select(F.col("xh").alias("h"))), id_col, text_col)
     return common.written(_matches(rest, texts).distinct(), "lines-matched-rest")
 
