@@ -5,16 +5,18 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tarnwood.functions.shared import shared_dir as shared_dir
+from tarnwood.functions.shared import written as written
+
 #: Words held by a worker's cache before it starts over; bounds memory, never results.
 CACHE_WORDS = 250_000
 
@@ -75,26 +77,6 @@ def map_arrow(df: DataFrame, columns: list[str], schema: T.StructType, make: Cal
     return df.select(*[df[c] for c in columns]).mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; only where
-    that is unset, as in tests, a local one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else "file:///tmp/tarnwood-checkpoints"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes the rows to the shared folder and reads them back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 class WordHashes(dict):
     """64-bit hashes of words, remembered while there is room."""
 
