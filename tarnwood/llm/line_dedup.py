@@ -447,9 +447,10 @@ _ROW = tuple((np.dtype(t), np.dtype(t).itemsize) for t in (np.uint32, np.int32,
 
 
 class _Group:
-    """The rows of a part, by key and size; keys of one row are left out."""
+    """The rows of a part, by key and size. A key's only row is left out, but with `lone` not
+    that of a frequent key, whose other rows may lie in other parts."""
 
-    def __init__(self, blobs: list[bytes], ids: pa.Array):
+    def __init__(self, blobs: list[bytes], ids: pa.Array, lone: bool = False):
         columns = [[] for _ in _ROW]
         for blob in blobs:
             m, at = len(blob) // sum(s for _, s in _ROW), 0
@@ -460,11 +461,14 @@ class _Group:
         order = np.argsort(key)
         sorted_ = key[order]
         first = np.r_[True, sorted_[1:] != sorted_[:-1]]
-        rows = order[~(first & np.r_[first[1:], True])]
+        keep = ~(first & np.r_[first[1:], True])
+        if lone:
+            keep |= rest[4][order] & _SALTED > 0
+        rows = order[keep]
         line, words, n, pos, flags, b0, b1 = (v[rows] for v in rest)
         taken = ids.take(pa.array(rows))
         rank = _ranks(taken)
-        place, group = np.empty(len(rows), np.int64), np.cumsum(first[~(first & np.r_[first[1:], True])])
+        place, group = np.empty(len(rows), np.int64), np.cumsum(first[keep])
         if len(rows) and int(rank.max()) - int(rank.min()) < 1 << 40 and int(line.max()) < 1 << 23:
             by = np.argsort((rank - rank.min()).astype(np.int64) << 23 | line)
         else:
@@ -585,7 +589,7 @@ class _Group:
         return np.r_[y, alone], fill(x, -1), fill(apart, 0), fill(sure, False), fill(more, True)
 
 
-def _joined(rows: DataFrame, parts: int, schema: T.StructType, work) -> DataFrame:
+def _joined(rows: DataFrame, parts: int, schema: T.StructType, work, lone: bool = False) -> DataFrame:
     """`work` on the group of each part; a part comes to one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -594,13 +598,13 @@ def _joined(rows: DataFrame, parts: int, schema: T.StructType, work) -> DataFram
             data, lists = batch.column(1).to_pylist(), batch.column(2)
             for i, part in enumerate(batch.column(0).to_pylist()):
                 if part != now and blobs:
-                    yield from work(_Group(blobs, pa.concat_arrays(ids)))
+                    yield from work(_Group(blobs, pa.concat_arrays(ids), lone))
                     blobs, ids = [], []
                 now = part
                 blobs.append(data[i])
                 ids.append(lists[i].values)
         if blobs:
-            yield from work(_Group(blobs, pa.concat_arrays(ids)))
+            yield from work(_Group(blobs, pa.concat_arrays(ids), lone))
         del blobs, ids
         common.trim()
 
@@ -637,7 +641,7 @@ def candidates(rows: DataFrame, parts: int) -> DataFrame:
         if len(y):
             yield emit(group, y, *rest)
 
-    found = _joined(rows, parts, schema, work)
+    found = _joined(rows, parts, schema, work, lone=True)
     one = F.struct((~F.col("sure")).alias("doubt"), "apart", "x_id", "x_line", "xh")
     both = found.groupBy("id", "line", "yh").agg(F.array_sort(F.collect_set(F.when(F.col("x_line").isNotNull(), one))).alias("all"), F.max("more").alias("more"))
     n = F.when(F.get("all", F.lit(0))["doubt"], PARTNERS).otherwise(SURE_PARTNERS)

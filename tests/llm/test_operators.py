@@ -224,10 +224,13 @@ def test_every_link_of_lines_counts(spark, monkeypatch, group_rows):
     assert line_dedup.links(frame.limit(0)).count() == 0
 
 
-def test_frequent_tokens_are_split_but_lose_nothing(spark, monkeypatch):
-    r = random.Random(2)
-    texts = [" ".join(r.sample("a b c d e f g h i".split(), r.randint(3, 6))) for _ in range(150)]
-    monkeypatch.setattr(line_dedup, "GROUP_ROWS", 20)
+@pytest.mark.parametrize("group_rows, seed, sizes", [(20, 2, (3, 6)), (3, 5, (4, 9)), (8, 6, (5, 12))])
+def test_frequent_tokens_are_split_but_lose_nothing(spark, monkeypatch, group_rows, seed, sizes):
+    """Sets of few frequent tokens: keys are refined, dealt to parts, and rows lie alone in theirs."""
+    r = random.Random(seed)
+    alphabet = "a b c d e f g h i j k l m n".split()[: sizes[1] + 3]
+    texts = ["\n".join(" ".join(r.sample(alphabet, r.randint(*sizes))) for _ in range(r.randint(1, 2))) for _ in range(150)]
+    monkeypatch.setattr(line_dedup, "GROUP_ROWS", group_rows)
     got = {x["doc_id"]: list(x["__tw_removed"]) for x in line_dedup.dedup(docs(spark, texts).select("doc_id", "text")).collect()}
     want = brute_lines(texts)
     assert got == {i: want[i] for i in range(len(texts))}
