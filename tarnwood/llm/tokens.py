@@ -3,7 +3,8 @@
 A text is cut only where the tokenizer provably cuts too: before one space or line
 feed that stands between two characters that are not white space. No piece of the
 pre-tokenisation patterns crosses such a place, so the ids of a text are the ids of
-its units in turn, and units are remembered."""
+its units in turn; shorter texts are put together from remembered units, and the chunks
+of huge ones are spliced at such places."""
 
 from __future__ import annotations
 
@@ -113,59 +114,63 @@ class UnitCounts(dict):
             return self.regular(text)
         return sum(map(self.__getitem__, STABLE.split(text)))
 
-    def offsets(self, text: str, start: int) -> tuple[list[int], list[int]]:
-        """The units' places in the whole text and their token counts."""
-        units = STABLE.split(text)
-        places = np.cumsum([start, *map(len, units)])[:-1].tolist()
-        return places, [self[u] for u in units]
-
 
 class Resync:
-    """Counts huge texts by overlapping chunks.
+    """Counts huge texts by overlapping chunks, each encoded by the library with offsets.
 
-    A chunk isn't encoded: it is cut into units, and their remembered counts stand for
-    the library's encoding. Two neighbours are spliced at a place inside their overlap
-    that both have as a stable boundary and after which both have the same next `agree`
-    units. Where there is none, the right chunk is started further to the left, four times
-    the overlap each time, at last at the left chunk's own start, where both are one chunk:
-    the count is exact for any text."""
+    Two neighbours are spliced at a stable place inside their overlap after which both
+    encodings have the same next `agree` tokens, by place and id. The tokenizer cuts there
+    whatever stands around, so left of it the left chunk's tokens are the whole text's and
+    right of it the right chunk's. Where there is no such place, the right chunk is started
+    further to the left, four times the overlap each time, at last at the last splice: then
+    it replaces the left chunk, and is made twice as long, so that a text without any stable
+    place costs a fixed multiple of its length. The count is exact for any text. A text of
+    at most one chunk has nothing to splice and is counted by its units."""
 
     def __init__(self, path: str, chunk_chars: int = 32_768, overlap: int = 512, agree: int = 3):
         if not 0 < overlap < chunk_chars:
             raise ValueError("overlap must lie between 0 and chunk_chars")
         self.units, self.size, self.overlap, self.agree = UnitCounts(path), chunk_chars, overlap, agree
-        self.widened = 0
+        self.widened = self.encoded = 0
+
+    def encode(self, text: str, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the tokens of a chunk begin in the whole text, and their ids."""
+        found = self.units.tokenizer.encode(text[start:end], add_special_tokens=False)
+        self.encoded += end - start
+        return np.array([a for a, _ in found.offsets], np.int64) + start, np.array(found.ids, np.int64)
 
     def count(self, text: str | None) -> int:
         text = text or ""
         if len(text) <= self.size:
             return self.units.chunk(text)
         total, begin, end = 0, 0, self.size
-        left = self.units.offsets(text[begin:end], begin)
+        left = self.encode(text, begin, end)
         while end < len(text):
-            overlap, upto = self.overlap, min(len(text), end + self.size)
+            overlap, upto = self.overlap, min(len(text), end + max(self.size, end - begin))
             while True:
                 start = max(begin, end - overlap)
-                right = self.units.offsets(text[start:upto], start)
-                at = self._common(left, right, start, begin)
+                at, right = self._splice(text, left, start, begin, end, upto)
                 if at is not None:
                     break
                 overlap, self.widened = overlap * 4, self.widened + 1
-            i, j = at
-            total += sum(left[1][:i])
-            left, begin, end = (right[0][j:], right[1][j:]), right[0][j], upto
-        return total + sum(left[1])
-
-    def _common(self, left, right, start: int, begin: int) -> tuple[int, int] | None:
+            i, j, begin = at
+            total += i
+            left, end = (right[0][j:], right[1][j:]), upto
+        return total + len(left[1])
+
+    def _splice(self, text: str, left, start: int, begin: int, end: int, upto: int):
+        """Tokens before the splice in the left and the right chunk, and its place, or None;
+        and the right chunk's encoding. Without a stable place nothing is encoded."""
         if start == begin:
-            return 0, 0  # the right chunk holds all of the left one
-        here = {p: j for j, p in enumerate(right[0]) if p > start}
-        places, need = left[0], self.agree
-        for i in range(1, len(places) - need):
-            j = here.get(places[i])
-            if j is not None and places[i : i + need + 1] == right[0][j : j + need + 1] and left[1][i : i + need] == right[1][j : j + need]:
-                return i, j
-        return None
+            return (0, 0, begin), self.encode(text, start, upto)
+        places = [m.start() for m in STABLE.finditer(text, start + 1, end)]
+        right = self.encode(text, start, upto) if places else None
+        for p in places:
+            i, j = int(np.searchsorted(left[0], p)), int(np.searchsorted(right[0], p))
+            here, there = ([x[k : k + self.agree] for x in side] for side, k in ((left, i), (right, j)))
+            if len(here[0]) == self.agree and all(map(np.array_equal, here, there)):
+                return (i, j, p), right
+        return None, right
 
 
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, chunk_chars: int = 32_768, overlap: int = 512) -> DataFrame:
@@ -174,7 +179,8 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     `path` is a byte-level BPE .json file present on every node. A null text counts as
     empty (0 tokens); null ids and repeated rows give a row each; other columns are not
     read; an empty table gives an empty result. One narrow pass, no shuffle: memory per
-    worker is a batch of texts and a bounded cache."""
+    worker is a batch of texts and a bounded cache. A text of more than `chunk_chars`
+    characters is encoded in overlapping chunks by `Resync`, a shorter one by its units."""
     schema = T.StructType([common.field(df, id_col), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def make():

@@ -54,6 +54,26 @@ def test_resynchronisation_is_exact_and_widens(library):
     assert counter.widened > 0
 
 
+def test_huge_texts_are_encoded_in_chunks(library):
+    path, r = queries.vocabulary("byte_bpe_50k.json"), random.Random(8)
+    whole = library["byte_bpe_50k.json"]
+    alphabet = ["a", "b", "É", "日", "\U0001f600", "\u0301", " ", "  ", "\n", "\t", "\u00a0", "\x1c", "'s", "12", ".", "<|endoftext|>", " <|endoftext|>"]
+    for n in range(60):
+        counter = tokens.Resync(path, r.choice([30, 100, 400]), r.choice([1, 7, 29]))
+        counter.units.chunk = None  # nothing but encodings may give the count
+        text = "".join(r.choice(alphabet[: r.choice([4, 10, 17])]) for _ in range(2_000)) + "x" * 400
+        assert counter.count(text) == len(whole.encode(text, add_special_tokens=False).ids), n
+        assert counter.encoded >= len(text)
+    text = " ".join(words(3000, 9))
+    counter = tokens.Resync(path, 1000, 40)
+    starts, ids = counter.encode(text, 500, 900)
+    expected = whole.encode(text[500:900], add_special_tokens=False)
+    assert ids.tolist() == expected.ids and (starts - 500).tolist() == [a for a, _ in expected.offsets]
+    counter.encoded = 0
+    assert counter.count("ab" * 50_000) == len(whole.encode("ab" * 50_000, add_special_tokens=False).ids)
+    assert counter.encoded < 500_000  # no stable place: five times the text at most
+
+
 def test_packing(spark, library):
     texts = [None, "", "one two", "one two", " ".join(words(9000, 5)), *(" ".join(words(n, n)) for n in range(50, 900, 13))]
     frame = docs(spark, texts).repartition(3)
