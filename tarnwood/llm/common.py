@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tarnwood.functions.shared import joined as joined
 from tarnwood.functions.shared import shared_dir as shared_dir
 from tarnwood.functions.shared import written as written
 

@@ -147,7 +147,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Adds the estimate to pairs (a, b) and keeps those that may link."""
     left = reps.select(F.col("rep").alias("a"), F.col("regs").alias("ra"))
     right = reps.select(F.col("rep").alias("b"), F.col("regs").alias("rb"))
-    joined = pairs.join(left, "a").join(right, "b")
+    joined = common.joined(common.joined(pairs, left, "a"), right, "b")
     schema = T.StructType([common.field(joined, "a"), common.field(joined, "b"), T.StructField("estimate", T.DoubleType())])
 
     def make():
@@ -167,7 +167,8 @@ def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets link. `texts`: id, text of the documents concerned."""
-    joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    joined = common.joined(pairs, texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    joined = common.joined(joined, texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     schema = T.StructType([common.field(joined, "a"), common.field(joined, "b")])
 
     def make():
@@ -205,12 +206,12 @@ def _pivoted(rows: DataFrame, nodes: DataFrame, salt: int) -> DataFrame:
     """(a, b): each row's likeliest partner among the pivots, one to a bucket, drawn by hash,
     that are in another component. A pivot is a row of the bucket's largest component, from the second round on."""
     if salt:
-        rows = rows.join(_mixed(rows), "key")
+        rows = common.joined(rows, _mixed(rows), "key")
         drawn = F.struct((F.col("component") != F.col("largest")).alias("small"), F.xxhash64("rep", "key", F.lit(salt)).alias("o"), "rep", "component", "n")
     else:
         drawn = F.struct(F.lit(False).alias("small"), F.xxhash64("rep", "key").alias("o"), "rep", "component", "n")
     pivots = rows.groupBy("key").agg(F.min(drawn).alias("p"), F.count("*").alias("rows")).where("rows > 1").select("key", F.col("p.rep").alias("b"), F.col("p.component").alias("cb"), F.col("p.n").alias("nb"))
-    pairs = rows.select("key", F.col("rep").alias("a"), "component", "n").join(pivots, "key").where((F.col("component") != F.col("cb")) & _alike("n", "nb"))
+    pairs = common.joined(rows.select("key", F.col("rep").alias("a"), "component", "n"), pivots, "key").where((F.col("component") != F.col("cb")) & _alike("n", "nb"))
     found = common.written(_estimated(pairs.select("a", "b").distinct(), nodes), "stars")
     return found.groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b"))
 
@@ -301,23 +302,23 @@ def _residue(rows: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     what is linked already costs a row for each block of the others, a group has a bounded
     number of rows, and no pair leaves a task but a link that joins two components. A
     family of m rows that aren't linked costs m * m / BLOCK_ROWS rows."""
-    mixed = rows.join(_mixed(rows).select("key"), "key").select("key", "rep", "component", "n")
+    mixed = common.joined(rows, _mixed(rows).select("key"), "key").select("key", "rep", "component", "n")
     mixed = common.written(mixed, "mixed")
     least = mixed.groupBy("key").agg(F.min("rep").alias("b"))
-    family = components(mixed.select("key", F.col("rep").alias("a")).join(least, "key").select("a", "b")).select(F.col("node").alias("rep"), F.col("component").alias("family"))
-    held = mixed.select("rep", "component", "n").dropDuplicates(["rep"]).join(family, "rep")
+    family = components(common.joined(mixed.select("key", F.col("rep").alias("a")), least, "key").select("a", "b")).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    held = common.joined(mixed.select("rep", "component", "n").dropDuplicates(["rep"]), family, "rep")
     held = common.written(held, "families")
     parts = held.groupBy("family", "component").agg(F.count("*").alias("k"))
     sizes = parts.groupBy("family").agg(F.sum("k").alias("k"), F.max(F.struct("k", "component")).alias("largest"))
     blocks = lambda k: F.ceil(k / BLOCK_ROWS).cast("long")
     sizes = sizes.select("family", "largest.component", blocks(F.col("largest.k")).alias("qm"), blocks(F.col("k") - F.col("largest.k")).alias("qs")).withColumnRenamed("component", "largest")
-    held = held.join(sizes, "family").withColumn("small", F.col("component") != F.col("largest"))
+    held = common.joined(held, sizes, "family").withColumn("small", F.col("component") != F.col("largest"))
     held = held.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("small"), F.col("qs")).otherwise(F.col("qm"))))
     alike = F.expr("transform(sequence(0L, qs - 1), k -> struct(false as mingled, least(own, k) * qs + greatest(own, k) as cell))")
     mingled = F.expr("transform(sequence(0L, qm - 1), k -> struct(true as mingled, own * qm + k as cell))")
     major = F.expr("transform(sequence(0L, qs - 1), k -> struct(true as mingled, k * qm + own as cell))")
     held = held.withColumn("at", F.explode(F.when(F.col("small"), F.concat(alike, mingled)).otherwise(major)))
-    dealt = held.select("family", "at.*", "own", "small", "rep", "component", "n").join(nodes, "rep").join(_sets(texts), "rep")
+    dealt = common.joined(common.joined(held.select("family", "at.*", "own", "small", "rep", "component", "n"), nodes, "rep"), _sets(texts), "rep")
     dealt = dealt.select("family", "mingled", "cell", "own", "small", "rep", "component", "n", "regs", "set")
     schema = T.StructType([common.field(rows, "rep", "a"), common.field(rows, "rep", "b")])
     arrow = to_arrow_schema(schema)
@@ -336,10 +337,10 @@ def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
         return common.written(components(links).withColumnRenamed("node", "rep"), "components")
     edges = links
     for end in ("a", "b"):
-        edges = edges.join(labels.select(F.col("rep").alias(end), F.col("component").alias(f"c{end}")), end, "left").withColumn(end, F.coalesce(f"c{end}", end)).drop(f"c{end}")
+        edges = common.joined(edges, labels.select(F.col("rep").alias(end), F.col("component").alias(f"c{end}")), end, "left").withColumn(end, F.coalesce(f"c{end}", end)).drop(f"c{end}")
     merged = common.written(components(edges.select("a", "b")), "merged")
-    old = labels.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("rep", F.coalesce("to", "component").alias("component"))
-    new = merged.join(labels, merged["node"] == labels["rep"], "left_anti").select(F.col("node").alias("rep"), "component")
+    old = common.joined(labels, merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("rep", F.coalesce("to", "component").alias("component"))
+    new = common.joined(merged.withColumnRenamed("node", "rep"), labels, "rep", "left_anti").select("rep", "component")
     return common.written(old.unionByName(new), "components")
 
 
@@ -371,15 +372,15 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     nodes = reps.groupBy("rep").agg(F.first("regs").alias("regs"))
     exploded = reps.select("rep", "n", F.posexplode("bands").alias("band", "key"))
     shared = exploded.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
-    exploded = common.written(exploded.join(shared, "key"), "buckets")  # other rows meet nothing
+    exploded = common.written(common.joined(exploded, shared, "key"), "buckets")  # other rows meet nothing
     concerned = exploded.select(F.col("rep").alias("id")).distinct()
-    texts = common.written(source.where("id is not null").join(concerned, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = common.written(common.joined(source.where("id is not null"), concerned, "id", "left_semi").dropDuplicates(["id"]), "texts")
     labels = None
 
     def labelled() -> DataFrame:
         if labels is None:
             return exploded.withColumn("component", F.col("rep"))
-        return exploded.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        return common.joined(exploded, labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
     for salt in range(ROUNDS):
         links = common.written(_verified(_pivoted(labelled(), nodes, salt), texts), "links")
@@ -389,8 +390,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     links = common.written(_residue(labelled(), nodes, texts), "more-links")
     if labels is None or not links.isEmpty():
         labels = _relabelled(labels, links)
-    final = reps.select("h1", "h2", "n", "rep").join(labels, "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
-    joined = rows.select("id", "n", "h1", "h2").join(final, ["h1", "h2", "n"], "left")
+    final = common.joined(reps.select("h1", "h2", "n", "rep"), labels, "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
+    joined = common.joined(rows.select("id", "n", "h1", "h2"), final, ["h1", "h2", "n"], "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
@@ -399,4 +400,4 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One document of each component, all columns as they were: rows whose id is the
     component's least; rows that repeat an id go or stay together."""
     found = near_duplicates(documents, id_col, text_col).where("kept").select(F.col(id_col).alias("__tw_id")).distinct()
-    return documents.join(found, F.col(id_col).eqNullSafe(F.col("__tw_id")), "left_semi")
+    return common.joined(documents, found, F.col(id_col).eqNullSafe(F.col("__tw_id")), "left_semi")

@@ -213,6 +213,23 @@ def test_lines(spark):
     assert line_dedup.dedup(frame.limit(0)).count() == 0
 
 
+def test_near_duplicates_broadcast_no_table(spark, monkeypatch):
+    """Links, labels and buckets grow with the input; none is gathered on the driver."""
+    plans, write = [], common.written
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(common, "written", written)
+    base = words(60, 5)
+    texts = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(0, 60, 6)] + [" ".join(words(30, n)) for n in (8, 9)]
+    kept = near_dedup.keep_one(docs(spark, texts))
+    plans.append(kept._jdf.queryExecution().executedPlan().toString())
+    assert {x["doc_id"] for x in kept.collect()} == {0, 10, 11}
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def brute_links(texts):
     sets = [{frozenset(line.lower().split()) for line in (t or "").split("\n")} - {frozenset()} for t in texts]
     every = sorted(set().union(*sets), key=sorted)
