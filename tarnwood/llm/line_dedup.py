@@ -40,6 +40,8 @@ MAP_BITS_LOG2 = 27
 PAIRS = 100_000
 #: Classes of lines that a task remembers, to give a class's prefix once and not for each copy.
 REMEMBERED = 200_000
+#: Tokens of pairs that are compared together, about.
+_TOKENS = 1 << 20
 _LINES = 4_096
 _HASH_BITS, _NEAR = 44, 64
 _TOKEN_MASK = np.uint64((1 << 52) - 1)
@@ -292,7 +294,7 @@ class Map:
 
 class _Prefixes(NamedTuple):
     """Rows of prefixes of some lines: key, its first token, line's number, a hash of its words, its size, its tokens that can't be
-    common to a match found by the key, two halves of a parity sketch, and the part it is dealt to, of how many."""
+    common to a match found by the key, two halves of a parity sketch, the part it is dealt to, of how many, and 32 bits of each token of its set."""
 
     key: np.ndarray
     token: np.ndarray
@@ -304,9 +306,10 @@ class _Prefixes(NamedTuple):
     b1: np.ndarray
     part: np.ndarray
     parts: np.ndarray
+    set: np.ndarray
 
 
-def _prefixes(number: np.ndarray, h: np.ndarray, head: Head, most: int, new) -> Iterator[_Prefixes]:
+def _prefixes(number: np.ndarray, h: np.ndarray, head: Head, most: int, new, with_sets: bool = False) -> Iterator[_Prefixes]:
     """Of lines by their words, some lines at a time. `new` says of the lines (numbers, hashes
     of the sequences of words) which to give.
 
@@ -361,7 +364,12 @@ def _prefixes(number: np.ndarray, h: np.ndarray, head: Head, most: int, new) ->
         parts = np.maximum(1, -(-often // most))
         with np.errstate(over="ignore"):
             part = (common.mix(whole[row] * _STEP[2] + lines[row].astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
-        yield _Prefixes(key, token, lines[row], words[row], n[row], before - at[row], b0[row], b1[row], part, parts)
+        short = mixed.astype(np.uint32)
+        sets = np.empty(len(n), object)
+        if with_sets:
+            for i, (begin, k) in enumerate(zip(at.tolist(), n.tolist(), strict=True)):
+                sets[i] = short[begin : begin + k]
+        yield _Prefixes(key, token, lines[row], words[row], n[row], before - at[row], b0[row], b1[row], part, parts, sets[row])
 
 
 def _token_keys(h: np.ndarray, head: Head) -> np.ndarray:
@@ -369,12 +377,13 @@ def _token_keys(h: np.ndarray, head: Head) -> np.ndarray:
     return common.mix((head.ranks(h) << np.uint64(_HASH_BITS)) | (h >> np.uint64(64 - _HASH_BITS)))
 
 
-def prefix_rows(documents: DataFrame, id_col: str, text_col: str, head: Head, parts: int, wanted: Map | None = None, tokens: Map | None = None, probes: Map | None = None, everything: bool = False) -> DataFrame:
+def prefix_rows(documents: DataFrame, id_col: str, text_col: str, head: Head, parts: int, wanted: Map | None = None, tokens: Map | None = None, probes: Map | None = None, everything: bool = False, with_sets: bool = False) -> DataFrame:
     """The rows of all lines' prefixes, packed by part of the join: part, data, ids.
 
     A line is given once a task, with its copies' least id and place, as far as the task
     remembers. `wanted` has the keys wanted, `tokens` the tokens they begin with; lines in `probes`, or `everything`, are marked and
-    go to all parts of a frequent key, other lines to one."""
+    go to all parts of a frequent key, other lines to one. `with_sets` packs the tokens too,
+    behind all other columns."""
     held = documents.sparkSession.sparkContext.broadcast((head, wanted, tokens, probes))  # of bounded sizes
     most = GROUP_ROWS
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("ids", T.ArrayType(documents.schema[id_col].dataType))])
@@ -408,7 +417,7 @@ def prefix_rows(documents: DataFrame, id_col: str, text_col: str, head: Head, pa
                             give[i] = True
                     return give
 
-                for rows in _prefixes(number, h, head, most, new):
+                for rows in _prefixes(number, h, head, most, new, with_sets):
                     mark = marked[rows.line]
                     if wanted is not None:
                         take = wanted.has(rows.key)
@@ -421,7 +430,7 @@ def prefix_rows(documents: DataFrame, id_col: str, text_col: str, head: Head, pa
                     flags = (cell != rows.part[copies]) * _CROSS + salted * _SALTED + mark[copies] * _PROBE
                     line = rows.line[copies]
                     fit = lambda v, c=copies: np.minimum(v[c], 65_535).astype(np.uint16)
-                    waiting.append(((key >> np.uint64(32)) % np.uint64(parts), key.astype(np.uint32), place[line].astype(np.int32), rows.words[copies].astype(np.uint32), fit(rows.n), fit(rows.pos), flags.astype(np.uint8), rows.b0[copies], rows.b1[copies], ids.take(pa.array(owner[line]))))
+                    waiting.append(((key >> np.uint64(32)) % np.uint64(parts), key.astype(np.uint32), place[line].astype(np.int32), rows.words[copies].astype(np.uint32), fit(rows.n), fit(rows.pos), flags.astype(np.uint8), rows.b0[copies], rows.b1[copies], rows.set[copies], ids.take(pa.array(owner[line]))))
                     size += len(key)
                 if size > 500_000:
                     yield packed(waiting)
@@ -437,7 +446,11 @@ def prefix_rows(documents: DataFrame, id_col: str, text_col: str, head: Head, pa
         at = _starts(part[order])
         columns = [c[order] for c in columns]
         ids = pa.concat_arrays([w[-1] for w in waiting]).take(pa.array(order))
-        blobs = [b"".join(c[s].tobytes() for c in columns) for s in map(slice, at.tolist(), [*at[1:].tolist(), len(order)])]
+        *columns, sets = columns
+        blobs = []
+        for s in map(slice, at.tolist(), [*at[1:].tolist(), len(order)]):
+            tail = [np.fromiter(map(len, sets[s]), np.int32, s.stop - s.start), *sets[s]] if with_sets else []
+            blobs.append(b"".join([np.int64(s.stop - s.start).tobytes(), *(c[s].tobytes() for c in columns), *(t.tobytes() for t in tail)]))
         return pa.RecordBatch.from_arrays([pa.array(part[order][at].astype(np.int32)), pa.array(blobs, pa.binary()), _lists(ids, at, arrow.field(2).type)], schema=arrow)
 
     return documents.select(F.col(id_col), F.col(text_col)).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).mapInArrow(run, schema)
@@ -451,12 +464,15 @@ class _Group:
     that of a frequent key, whose other rows may lie in other parts."""
 
     def __init__(self, blobs: list[bytes], ids: pa.Array, lone: bool = False):
-        columns = [[] for _ in _ROW]
+        columns, sizes, tokens = [[] for _ in _ROW], [], []
         for blob in blobs:
-            m, at = len(blob) // sum(s for _, s in _ROW), 0
+            m, at = int(np.frombuffer(blob, np.int64, 1)[0]), 8
             for held, (kind, size) in zip(columns, _ROW, strict=True):
                 held.append(np.frombuffer(blob, kind, m, at))
                 at += m * size
+            if at < len(blob):
+                sizes.append(np.frombuffer(blob, np.int32, m, at))
+                tokens.append(np.frombuffer(blob, np.uint32, -1, at + 4 * m))
         key, *rest = map(np.concatenate, columns)
         order = np.argsort(key)
         sorted_ = key[order]
@@ -480,6 +496,9 @@ class _Group:
         self.n, self.pos = n[order].astype(np.int32), pos[order].astype(np.int32)
         self.cross, self.salted, self.probe = (flags[order] & f > 0 for f in (_CROSS, _SALTED, _PROBE))
         self.words, self.ids, self.order = words[order], taken, order
+        if sizes:
+            size = np.concatenate(sizes).astype(np.int64)
+            self.size, self.begin, self.tokens = size[rows][order], (np.cumsum(size) - size)[rows][order], np.concatenate(tokens)
         # the greatest size that a larger set may have, three times: no common token precedes the key's
         self.most = np.where(self.n == 65_535, 1 << 30, DENOMINATOR * self.n - 7 * self.pos)
         ends = np.r_[_starts(self.key), len(self.key)]
@@ -530,6 +549,35 @@ class _Group:
                 keep = self.probe[y]
                 yield y[keep], x[keep]
 
+    def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of rows match by the hashes of their tokens: all that do match, and as good as no other."""
+        out, total = np.zeros(len(a), bool), np.cumsum(self.size[a] + self.size[b])
+        for s in np.split(np.arange(len(a)), np.searchsorted(total, np.arange(_TOKENS, int(total[-1]) if len(a) else 0, _TOKENS))):
+            if not len(s):
+                continue
+            pair, rows = np.r_[s, s], np.r_[a[s], b[s]]
+            size = self.size[rows]
+            places = np.repeat(self.begin[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            both = np.sort(np.repeat((pair - s[0]).astype(np.uint64), size) << np.uint64(32) | self.tokens[places])
+            common_ = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(s))
+            out[s] = DENOMINATOR * common_ >= NUMERATOR * (self.size[a[s]] + self.size[b[s]] - common_)
+        return out
+
+    def matching(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(y, x): the probes with an earlier row that matches by the hashes of the tokens, the
+        first found in a key; what has one is not held against others."""
+        done = np.zeros(len(self.key), bool)
+        for rows, d in self.steps():
+            rows = rows[self.probe[rows] | self.probe[rows + d]]
+            for part in range(0, len(rows), 1 << 18):
+                a = rows[part : part + (1 << 18)]
+                x, y, _, _ = self.passing(a, a + d)
+                keep = self.probe[y] & ~done[y]
+                x, y = x[keep], y[keep]
+                keep = self.alike(x, y)
+                done[y[keep]] = True
+                yield y[keep], x[keep]
+
     def nearest(self) -> tuple[np.ndarray, ...]:
         """(y, x, apart, sure, more): later rows with earlier ones, the nearest by their sketches;
         SURE_PARTNERS if the first is all but certain to match, else PARTNERS; `more` if there may be others,
@@ -648,12 +696,13 @@ def candidates(rows: DataFrame, parts: int) -> DataFrame:
     return both.select("id", "line", "yh", F.slice("all", F.lit(1), n).alias("partners"), (F.col("more") | (F.size("all") > n)).alias("more"))
 
 
-def all_candidates(rows: DataFrame, parts: int) -> DataFrame:
-    """(id, line, yh, x_id, x_line, xh): the probes with every earlier line that the filters let pass."""
+def all_candidates(rows: DataFrame, parts: int, every: bool) -> DataFrame:
+    """(id, line, yh, x_id, x_line, xh): the probes with every earlier line that the filters let
+    pass; or with one a key, of those that match by the hashes of the tokens."""
     schema, emit = _emitter(rows.schema["ids"].dataType.elementType)
 
     def work(group: _Group):
-        for y, x in group.pairs():
+        for y, x in group.pairs() if every else group.matching():
             if len(y):
                 no = np.zeros(len(y), bool)
                 yield emit(group, y, x, np.zeros(len(y), np.int32), no, no)
@@ -734,9 +783,11 @@ def matched_lines(documents: DataFrame, id_col: str, text_col: str) -> DataFrame
     return out.distinct()
 
 
-def _second_round(rows: DataFrame, id_col: str, text_col: str, head: Head, parts: int, open_: DataFrame, n: int) -> DataFrame:
+def _second_round(rows: DataFrame, id_col: str, text_col: str, head: Head, parts: int, open_: DataFrame, n: int, every: bool = False) -> DataFrame:
     """Of lines that no partner of the first round matched, though there may be others: those
-    that one of all partners matches."""
+    that one of all partners matches. All partners are compared by the hashes of their tokens,
+    and one a key goes on to the texts. A line of which none of these holds on the texts, as
+    hashes may be equal by chance, meets `every` partner there."""
     held = rows.sparkSession.sparkContext.broadcast(head)
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("token", T.LongType())])
     arrow = to_arrow_schema(schema)
@@ -753,9 +804,14 @@ def _second_round(rows: DataFrame, id_col: str, text_col: str, head: Head, parts
     keys = common.written(open_.select("text").mapInArrow(run, schema), "line-keys")
     m = keys.count()
     maps = Map(keys, "key", m), Map(keys, "token", m), Map(open_, "yh", n)
-    rest = common.written(all_candidates(prefix_rows(rows, id_col, text_col, head, parts, *maps), parts), "line-pairs-rest")
+    rest = common.written(all_candidates(prefix_rows(rows, id_col, text_col, head, parts, *maps, with_sets=not every), parts, every), "line-pairs-rest")
     texts = _concerned(rows, rest.select(F.col("yh").alias("h")).unionByName(rest.select(F.col("xh").alias("h"))), id_col, text_col)
-    return common.written(_matches(rest, texts).distinct(), "lines-matched-rest")
+    found = common.written(_matches(rest, texts).distinct(), "lines-matched-rest")
+    if every:
+        return found
+    doubt = common.written(open_.join(rest.select("id", "line").distinct(), ["id", "line"], "left_semi").join(found, ["id", "line"], "left_anti"), "lines-in-doubt")
+    m = doubt.count()
+    return found.unionByName(_second_round(rows, id_col, text_col, head, parts, doubt, m, True)) if m else found
 
 
 def dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -273,6 +273,27 @@ def test_frequent_tokens_are_split_but_lose_nothing(spark, monkeypatch, group_ro
     assert got == {i: want[i] for i in range(len(texts))}
 
 
+def test_second_round_gives_matching_pairs_alone(spark, monkeypatch):
+    """All partners of an open line are compared where they meet; what doesn't match isn't passed on."""
+    r = random.Random(6)
+    alphabet = "a b c d e f g h i j k l m n o".split()
+    texts = [" ".join(r.sample(alphabet, r.randint(5, 12))) for _ in range(150)]
+    monkeypatch.setattr(line_dedup, "GROUP_ROWS", 8)
+    rest, write = [], common.written
+
+    def written(df, name):
+        out = write(df, name)
+        rest.extend((x["id"], x["x_id"]) for x in out.collect()) if name == "line-pairs-rest" else None
+        return out
+
+    monkeypatch.setattr(common, "written", written)
+    got = {x["doc_id"]: list(x["__tw_removed"]) for x in line_dedup.dedup(docs(spark, texts).select("doc_id", "text")).collect()}
+    want = brute_lines(texts)
+    sets = [set(t.split()) for t in texts]
+    assert got == {i: want[i] for i in range(len(texts))}
+    assert rest and all(4 * len(sets[y] & sets[x]) >= 3 * len(sets[y] | sets[x]) for y, x in rest)
+
+
 def semi_global(doc, item):
     row = [0] * (len(doc) + 1)
     for i, c in enumerate(item, 1):
