@@ -26,10 +26,12 @@ NUMERATOR, DENOMINATOR = 3, 4
 #: Tokens whose exact counts go to every task, the most frequent ones; all others rank before
 #: them, in the order of their hashes. The order decides the work, never the result.
 HEAD, CELLS_LOG2 = 1 << 19, 23
-#: A prefix token of a greater count is a key only together with the next token of a line that
-#: two matching lines may share, and that pair with a third; a third token of a greater count
-#: deals its lines to parts, of about so many.
-GROUP_ROWS = 20_000
+#: A prefix token of more rows is a key only together with the next token of a line that two
+#: matching lines may share. Such a pair of more than GROUP_ROWS / PAIR_SHARE rows takes a
+#: third token; a triple of more than GROUP_ROWS rows deals its lines to parts, of about so
+#: many. A key's rows are estimated from one line in GROUP_ROWS / SAMPLE_SHARE, and never
+#: taken for more than its last token's count. They decide the work, never the result.
+GROUP_ROWS, PAIR_SHARE, SAMPLE_SHARE, HEAVY_LOG2 = 20_000, 8, 160, 20
 #: Rows of prefixes that a part of the join holds, about.
 PART_ROWS = 400_000
 #: Partners of a line that are verified in the first round, at most: of all but certain ones, of others.
@@ -43,6 +45,8 @@ REMEMBERED = 200_000
 #: Tokens of pairs that are compared together, about.
 _TOKENS = 1 << 20
 _LINES = 4_096
+#: The least sizes that are (4/3)^k or more: of two sizes that may match, the places differ by one at most.
+_SIZES = np.array([-(-(4**k) // 3**k) for k in range(140)])
 _HASH_BITS, _NEAR = 44, 64
 _TOKEN_MASK = np.uint64((1 << 52) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -91,16 +95,22 @@ def _parts(spark: SparkSession, rows: int = 0) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS))
 
 
-#: Kinds of rows of a survey: token counts, lines that are the first of a class in their task, other lines.
-_COUNTED, _FIRST, _EQUAL = 0, 1, 2
+#: Kinds of rows of a survey: token counts, lines that are the first of a class in their task, other lines, words of some of the first ones.
+_COUNTED, _FIRST, _EQUAL, _SAMPLED = 0, 1, 2, 3
+
+
+def _sample() -> int:
+    """One line in so many is looked at for the sizes of groups."""
+    return max(1, GROUP_ROWS // SAMPLE_SHARE)
 
 
 def survey(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One pass over the texts; its rows hold arrays: kind, part, data, ids. Token counts,
     folded by task: the tokens' hashes and counts. Lines with words: a class is by 128 bits
     of the sequence of words; a task gives a class's first line with these bits and place,
-    and of its other lines, which equal an earlier one, the places."""
-    parts = 4 * _parts(documents.sparkSession)
+    and of its other lines, which equal an earlier one, the places. Of some of the first
+    lines, chosen by a hash, the hashes of the words too, and the line's number for each."""
+    parts, sample = 4 * _parts(documents.sparkSession), np.uint64(_sample())
     schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("ids", T.ArrayType(documents.schema[id_col].dataType))])
     arrow = to_arrow_schema(schema)
 
@@ -114,7 +124,7 @@ def survey(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(part[order][at]), pa.array(blobs, pa.binary()), lists], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, lines, size = [], [], 0
+        counts, lines, some, size = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             token, n = _summed(counts)
@@ -124,6 +134,12 @@ def survey(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
             first = _first(c1, c2, ids, line)
             yield packed(_FIRST, c1[first], [c1[first], c2[first], line[first]], ids.take(pa.array(np.flatnonzero(first))))
             yield packed(_EQUAL, c1[~first], [line[~first]], ids.take(pa.array(np.flatnonzero(~first))))
+            ends = np.cumsum([0, *(len(x[0]) for x in lines)])
+            h = np.concatenate([x[0] for x in some])
+            own = np.concatenate([n + e for (_, n), e in zip(some, ends[:-1], strict=True)])
+            keep = first[own]
+            if keep.any():
+                yield packed(_SAMPLED, np.zeros(1, np.uint64), [np.r_[h[keep], own[keep].astype(np.uint64)][None]])
 
         for batch in batches:
             for piece in common.slices(batch):
@@ -134,12 +150,15 @@ def survey(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 size += len(counts[-1][0])
                 at = _starts(number)
                 lines.append((*_sequences(h, at, True), place[number[at]].astype(np.int32), piece.column(0).take(pa.array(owner[number[at]]))))
+                nth = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(h)]))
+                mine = (_line_hash(piece.column(0), owner[number[at]], place[number[at]]) % sample == 0)[nth]
+                some.append((h[mine], nth[mine]))
                 if size > 4_000_000:
                     yield from flush()
-                    counts, lines, size = [], [], 0
+                    counts, lines, some, size = [], [], [], 0
         if counts:
             yield from flush()
-        del counts, lines
+        del counts, lines, some
         common.trim()
 
     return documents.select(F.col(id_col), F.col(text_col)).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).mapInArrow(run, schema)
@@ -200,7 +219,7 @@ def equal_lines(surveyed: DataFrame) -> DataFrame:
             yield made()
         common.trim()
 
-    lines = surveyed.where(F.col("kind") != _COUNTED)
+    lines = surveyed.where(F.col("kind").isin(_FIRST, _EQUAL))
     return lines.repartition(_parts(surveyed.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
@@ -220,10 +239,13 @@ class Head(NamedTuple):
     """The ranks of the most frequent tokens by their exact counts, in cells by the upper bits
     of their hashes; a cell has the greatest rank. A rare token may so pass for a frequent one,
     for one in sixteen at most; it does everywhere, and the order decides the work alone.
-    `total` is the number of words of all texts, of tokens that occur twice."""
+    `total` is the number of words of all texts, of tokens that occur twice. `heavy` has, as
+    ranks and in cells by the upper bits too, the rows of the largest keys, by estimate;
+    without it, any key may have as many as its last token has occurrences."""
 
     cells: np.ndarray
     total: int
+    heavy: np.ndarray | None = None
 
     @classmethod
     def of(cls, token: np.ndarray, n: np.ndarray, total: int) -> Head:
@@ -235,6 +257,12 @@ class Head(NamedTuple):
         """The tokens' ranks, rarer ones first, 0 for those not in the head."""
         return self.cells[(h >> np.uint64(64 - CELLS_LOG2)).astype(np.int32)].astype(np.uint64)
 
+    def rows(self, key: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """How many rows keys have, about, the last token of which has such counts."""
+        if self.heavy is None:
+            return last
+        return np.minimum(last, _COUNTS[self.heavy[(key >> np.uint64(64 - HEAVY_LOG2)).astype(np.int32)]])
+
 
 def token_counts(surveyed: DataFrame) -> Head:
     """Exact counts over all texts. Each part of the tokens is summed by one task; of the sums
@@ -272,7 +300,40 @@ def token_counts(surveyed: DataFrame) -> Head:
             break
         least = cell["log2"]
     top = counts.where(F.col("n") >= F.lit(1 << least)).toArrow()
-    return Head.of(top["token"].to_numpy().view(np.uint64), top["n"].to_numpy(), sum(c["words"] for c in cells))
+    head = Head.of(top["token"].to_numpy().view(np.uint64), top["n"].to_numpy(), sum(c["words"] for c in cells))
+    return head._replace(heavy=_heavy(surveyed, head))
+
+
+def _heavy(surveyed: DataFrame, head: Head) -> np.ndarray:
+    """The rows of the keys of frequent tokens, of one to three, estimated from the lines sampled,
+    as ranks in cells; 0 for keys that need no further token and no parts. A cell has the greatest."""
+    held = surveyed.sparkSession.sparkContext.broadcast(head)
+    most, sample = GROUP_ROWS, _sample()
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                h, own = np.frombuffer(blob, np.uint64).reshape(2, -1)
+                number, keys = np.cumsum(np.r_[False, own[1:] != own[:-1]]), []
+                for _ in _prefixes(number, h, held.value, most, lambda lines, words: np.ones(len(lines), bool), frequent=keys):
+                    if sum(map(len, keys)) > 1_000_000:
+                        yield counted(keys)
+                        keys.clear()
+                if keys:
+                    yield counted(keys)
+        common.trim()
+
+    def counted(keys: list[np.ndarray]) -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(keys), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], schema=arrow)
+
+    keys = surveyed.where(F.col("kind") == _SAMPLED).select("data").mapInArrow(run, schema).groupBy("key").agg((F.sum("n") * sample).alias("n"))
+    cells = keys.where(F.col("n") * PAIR_SHARE > most).groupBy(F.shiftrightunsigned("key", 64 - HEAVY_LOG2).cast("int").alias("cell")).agg(F.max("n").alias("n")).toArrow()
+    heavy = np.zeros(1 << HEAVY_LOG2, np.uint8)
+    heavy[cells["cell"].to_numpy()] = np.searchsorted(_COUNTS[:-1], cells["n"].to_numpy()).astype(np.uint8)
+    return heavy
 
 
 class Map:
@@ -309,15 +370,17 @@ class _Prefixes(NamedTuple):
     set: np.ndarray
 
 
-def _prefixes(number: np.ndarray, h: np.ndarray, head: Head, most: int, new, with_sets: bool = False) -> Iterator[_Prefixes]:
+def _prefixes(number: np.ndarray, h: np.ndarray, head: Head, most: int, new, with_sets: bool = False, frequent: list | None = None) -> Iterator[_Prefixes]:
     """Of lines by their words, some lines at a time. `new` says of the lines (numbers, hashes
     of the sequences of words) which to give.
 
     Of n tokens in order of rarity the first n - t + 1 are keys, where t = ceil(3 n / 4) is the
     least overlap with any match. Two matching lines have t tokens in common, and the k-th of
-    these is among the first n - t + k of each: so a token of a count over `most` is a key with
-    each later one of the first n - t + 2, and if that is frequent too, with each later one of
-    the first n - t + 3. Lines of one or two tokens match equal sets only: their set is the key."""
+    these is among the first n - t + k of each: so a token of more rows than `most` is a key with
+    each later one of the first n - t + 2, and if that pair is frequent too, with each later one
+    of the first n - t + 3. What is frequent is the same for all lines, as the key alone says it.
+    Lines of one or two tokens match equal sets only: their set is the key. `frequent` is given
+    the keys whose last token is frequent, also those that another one follows."""
     cuts = np.searchsorted(number, np.arange(0, int(number[-1]) + 1 + _LINES, _LINES)) if len(number) else [0]
     for k in range(len(cuts) - 1):
         s = slice(cuts[k], cuts[k + 1])
@@ -346,10 +409,12 @@ def _prefixes(number: np.ndarray, h: np.ndarray, head: Head, most: int, new, wit
         row = np.repeat(np.arange(len(n)), prefix)
         first = at[row] + np.arange(len(row)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
         short = small[row]
-        key, often, last, token = np.where(short, whole[row], mixed[first]), np.where(short, 0, count[first]), first, mixed[first]
+        key, often, last, token = np.where(short, whole[row], mixed[first]), np.where(short, 0, head.rows(mixed[first], count[first])), first, mixed[first]
+        if frequent is not None:
+            frequent.append(key[often > most])
         done = []
-        for level in (1, 2):
-            hot = often > most
+        for level, limit in ((1, most), (2, max(1, most // PAIR_SHARE))):
+            hot = often > limit
             done.append((row[~hot], last[~hot] - level + 1, key[~hot], often[~hot], token[~hot]))
             row, key, last, token = row[hot], key[hot], last[hot], token[hot]
             # the later tokens, as far as the prefix of this level goes
@@ -358,7 +423,9 @@ def _prefixes(number: np.ndarray, h: np.ndarray, head: Head, most: int, new, wit
             after = last[copies] + 1 + np.arange(len(copies)) - np.repeat(np.cumsum(more) - more, more)
             with np.errstate(over="ignore"):
                 key = common.mix(key[copies] * _STEP[1] + mixed[after])
-            row, last, often, token = row[copies], after, count[after], token[copies]
+            row, last, often, token = row[copies], after, head.rows(key, count[after]), token[copies]
+            if frequent is not None:
+                frequent.append(key[often > most // PAIR_SHARE])
         done.append((row, last - 2, key, often, token))
         row, before, key, often, token = map(np.concatenate, zip(*done, strict=True))
         parts = np.maximum(1, -(-often // most))
@@ -377,11 +444,21 @@ def _token_keys(h: np.ndarray, head: Head) -> np.ndarray:
     return common.mix((head.ranks(h) << np.uint64(_HASH_BITS)) | (h >> np.uint64(64 - _HASH_BITS)))
 
 
+def _sizes_place(n: np.ndarray) -> np.ndarray:
+    return np.searchsorted(_SIZES, n, "right")
+
+
+def _sized(key: np.ndarray, n: np.ndarray, step: int = 0) -> np.ndarray:
+    """Hashes of keys with the places of lines' sizes, or places beside them."""
+    with np.errstate(over="ignore"):
+        return common.mix(key + (_sizes_place(n) + step).astype(np.uint64) * _STEP[2])
+
+
 def prefix_rows(documents: DataFrame, id_col: str, text_col: str, head: Head, parts: int, wanted: Map | None = None, tokens: Map | None = None, probes: Map | None = None, everything: bool = False, with_sets: bool = False) -> DataFrame:
     """The rows of all lines' prefixes, packed by part of the join: part, data, ids.
 
     A line is given once a task, with its copies' least id and place, as far as the task
-    remembers. `wanted` has the keys wanted, `tokens` the tokens they begin with; lines in `probes`, or `everything`, are marked and
+    remembers. `wanted` has the keys wanted, with their sizes, `tokens` the tokens they begin with; lines in `probes`, or `everything`, are marked and
     go to all parts of a frequent key, other lines to one. `with_sets` packs the tokens too,
     behind all other columns."""
     held = documents.sparkSession.sparkContext.broadcast((head, wanted, tokens, probes))  # of bounded sizes
@@ -420,7 +497,7 @@ def prefix_rows(documents: DataFrame, id_col: str, text_col: str, head: Head, pa
                 for rows in _prefixes(number, h, head, most, new, with_sets):
                     mark = marked[rows.line]
                     if wanted is not None:
-                        take = wanted.has(rows.key)
+                        take = wanted.has(_sized(rows.key, rows.n))
                         rows, mark = _Prefixes(*(v[take] for v in rows)), mark[take]
                     copies = np.repeat(np.arange(len(mark)), np.where(mark, rows.parts, 1))
                     cell = np.where(mark[copies], np.arange(len(copies)) - np.searchsorted(copies, copies), rows.part[copies])
@@ -798,7 +875,8 @@ def _second_round(rows: DataFrame, id_col: str, text_col: str, head: Head, parts
             for piece in common.slices(batch):
                 number, h, _, _ = lines_of(common.encoded(piece.column(0)))
                 for rows in _prefixes(number, h, held.value, most, lambda lines, words: np.ones(len(lines), bool)):
-                    yield pa.RecordBatch.from_arrays([pa.array(rows.key.view(np.int64)), pa.array(rows.token.view(np.int64))], schema=arrow)
+                    for step in (-1, 0, 1):
+                        yield pa.RecordBatch.from_arrays([pa.array(_sized(rows.key, rows.n, step).view(np.int64)), pa.array(rows.token.view(np.int64))], schema=arrow)
         common.trim()
 
     keys = common.written(open_.select("text").mapInArrow(run, schema), "line-keys")

@@ -273,6 +273,36 @@ def test_frequent_tokens_are_split_but_lose_nothing(spark, monkeypatch, group_ro
     assert got == {i: want[i] for i in range(len(texts))}
 
 
+def test_keys_of_frequent_tokens_are_not_dealt_unless_they_have_many_rows(spark, monkeypatch):
+    """Each token occurs in more lines than a group may have, few share three of them: a line
+    alone with its keys is not left to the second round."""
+    r = random.Random(9)
+    alphabet = [f"w{i}" for i in range(30)]
+    texts = [" ".join(r.sample(alphabet, 8)) for _ in range(300)]
+    texts += [" ".join([*texts[i].split()[1:], "w31"]) for i in range(0, 40, 4)]
+    monkeypatch.setattr(line_dedup, "GROUP_ROWS", 40)
+    left, write = [], common.written
+
+    def written(df, name):
+        out = write(df, name)
+        left.extend(x["id"] for x in out.collect()) if name == "lines-open" else None
+        return out
+
+    monkeypatch.setattr(common, "written", written)
+    got = {x["doc_id"]: list(x["__tw_removed"]) for x in line_dedup.dedup(docs(spark, texts).select("doc_id", "text")).collect()}
+    want = brute_lines(texts)
+    assert got == {i: want[i] for i in range(len(texts))} and any(want[i] for i in range(300, len(texts)))
+    assert min(collections.Counter(w for t in texts[:300] for w in t.split()).values()) > 40 and not left
+
+
+def test_sizes_that_may_match_have_neighbouring_places():
+    sizes = [*range(1, 400), 65_535, 65_536, *(int(x) + d for x in line_dedup._SIZES[20:60] for d in (-1, 0, 1))]
+    place = lambda n: int(line_dedup._sizes_place(n))
+    for n in sizes:
+        low, high = -(-3 * n // 4), 4 * n // 3
+        assert place(n) - 1 <= place(low) <= place(high) <= place(n) + 1
+
+
 def test_second_round_gives_matching_pairs_alone(spark, monkeypatch):
     """All partners of an open line are compared where they meet; what doesn't match isn't passed on."""
     r = random.Random(6)
