@@ -390,7 +390,11 @@ def _prefixes(number: np.ndarray, h: np.ndarray, head: Head, most: int, new, wit
         at = _starts(local)
         words = _sequences(h[s], at, False)[0]
         given = new(k * _LINES + local[at].astype(np.int64), words)
-        sort = (local << np.uint64(52)) | (head.ranks(h[s]) << np.uint64(_HASH_BITS)) | (h[s] >> np.uint64(64 - _HASH_BITS))
+        if not given.any():
+            continue
+        take = np.repeat(given, np.diff(np.r_[at, len(local)]))
+        local, mine, words = local[take], h[s][take], words[given]
+        sort = (local << np.uint64(52)) | (head.ranks(mine) << np.uint64(_HASH_BITS)) | (mine >> np.uint64(64 - _HASH_BITS))
         sort.sort()
         sort = sort[_starts(sort)]
         own, token = (sort >> np.uint64(52)).astype(np.int64), sort & _TOKEN_MASK
@@ -403,7 +407,6 @@ def _prefixes(number: np.ndarray, h: np.ndarray, head: Head, most: int, new, wit
         with np.errstate(over="ignore"):
             whole = common.mix(np.add.reduceat(mixed, at) + n.astype(np.uint64))
         lines = k * _LINES + own[at]
-        at, n, b0, b1, whole, lines, words = (v[given] for v in (at, n, b0, b1, whole, lines, words))
         small = n <= 2
         prefix = np.where(small, 1, n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1)
         row = np.repeat(np.arange(len(n)), prefix)
